@@ -180,6 +180,8 @@ class WordVocab:
         Returns (offsets, counts): counts[offsets[w] + i] is the number of tokens of the first i bytes of word w, encoded as a word
         that stops there (0 at i = 0)."""
         n = len(starts)
+        if not n:
+            return np.zeros(1, np.int64), np.zeros(0, np.int64)
         order = np.argsort(ends - starts, kind="stable")[::-1]
         s, e = starts[order], ends[order]
         size = (e - s).astype(np.int64)
@@ -264,6 +266,8 @@ class Words:
     def utf8(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """UTF-8 bytes of the chosen words, with starts and ends."""
         s, e = self.start[which], self.end[which]
+        if not len(s):
+            return np.zeros(0, np.uint8), s, e
         cp = self.cp[V.ragged(s, e - s)].astype(np.int64)
         wide = cp >= 0x80
         size = np.where(wide, 2, 1)
