@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op6_ngram_jaccard_join
 from .packing import op2_packing
 from .token_counts import op1_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """opN_<name> for every operator."""
-    return {f.__name__: f for f in (op1_token_counts, op2_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op6_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
