@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP5_SQL, op5_chat_format
 from .jaccard_join import op6_ngram_jaccard_join
+from .language_id import op10_language_id
 from .packing import op2_packing
 from .token_counts import op1_token_counts
+from .url_filter import op4_url_filter
+
+ALL = (
+    op1_token_counts,
+    op2_packing,
+    op4_url_filter,
+    op5_chat_format,
+    op6_ngram_jaccard_join,
+    op10_language_id,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """opN_<name> for every operator."""
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op6_ngram_jaccard_join)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that DuckDB can express."""
-    return {}
+    return {"op5_chat_format": OP5_SQL}
