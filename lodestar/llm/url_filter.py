@@ -26,7 +26,7 @@ MIN_HOSTS, TOP_WORDS, CACHE = 3, 50_000, 200_000
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Seed words of both classes.
 BLOCK = "ad ads adserver adult affiliate bet bets betting bitcoin bonus botnet camgirl casino cheap click clickbait crack cracked doubleclick drugs erotic escort farm fake free gambling giveaway hack hentai jackpot keygen loan loans lottery malware milf naked nude payday phishing pill pills pirate poker popup porn prize promo pron replica roulette scam sex sexy slots spam spyware tracker track tracking torrent viagra virus warez webcam win winner x xxx".split()
-ALLOW = "about academy archive article articles art bank bible biology blog book books cafe church city classic college community cooking council course courses culture data de dev docs education en encyclopedia english es example faq forum fr garden government guide health help history home hospital house html index info institute journal language law learn library local magazine mail maths medical mobile museum music nature news office online open page park people photo physics poetry press public recipes report research review school science shop social software sports story student study support teacher tech theatre town travel university water weather wiki work world www".split()
+ALLOW = "about academy archive article articles art bank bible biology blog book books cafe church city classic college community cooking council course courses culture docs education encyclopedia english faq forum garden government guide health help history hospital house info institute journal language law learn library local magazine mail maths medical mobile museum music nature news office online open page park people photo physics poetry press public recipes report research review school science shop social software sports story student study support teacher tech theatre town travel university water weather wiki work world".split()
 _caches: dict[str, dict] = {}
 
 
