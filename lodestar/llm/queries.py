@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .decontaminate import OP7_SQL, op7_decontaminate
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op10_language_id
 from .packing import op2_packing
@@ -19,6 +20,7 @@ ALL = (
     op4_url_filter,
     op5_chat_format,
     op6_ngram_jaccard_join,
+    op7_decontaminate,
     op10_language_id,
 )
 
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that DuckDB can express."""
-    return {"op5_chat_format": OP5_SQL}
+    return {"op5_chat_format": OP5_SQL, "op7_decontaminate": OP7_SQL}
