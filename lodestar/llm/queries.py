@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .fingerprints import op8_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op10_language_id
 from .packing import op2_packing
@@ -21,6 +22,7 @@ ALL = (
     op5_chat_format,
     op6_ngram_jaccard_join,
     op7_decontaminate,
+    op8_fingerprints,
     op10_language_id,
 )
 
