@@ -12,6 +12,7 @@ from .fingerprints import op8_fingerprints
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op10_language_id
 from .packing import op2_packing
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op1_token_counts
 from .url_filter import op4_url_filter
 
@@ -23,6 +24,7 @@ ALL = (
     op6_ngram_jaccard_join,
     op7_decontaminate,
     op8_fingerprints,
+    op9_suffix_dedup,
     op10_language_id,
 )
 
