@@ -12,9 +12,9 @@ A text's words are the runs of anything but ASCII white space, A-Z lower-cased;
 3. Prefix filter in the global order (class count, hash): a linked pair shares a shingle among the first n - ceil(t n) + 1 of each.
 4. Texts with identical prefix and size form one group; group pairs are filtered by size and joined on prefix shingles, then expanded to
    members and verified on all shared shingles.  A bucket of a frequent shingle is not expanded into all pairs: its members are first
-   verified against one pivot, which links most of them; then only members outside the bucket's largest component meet the rest, round
-   by round until no unverified pair crosses two components.  Components therefore are exact, and links are never lost: a pair inside one
-   component is already connected.
+   verified against one pivot, which links most of them; members outside the bucket's largest component then meet further pivots of it,
+   and what is still outside meets all members of other components that pass the positional filter.  No unverified pair that may link
+   crosses two components at the end, so components are exact; a pair inside one component is already connected.
 
 Only counts reach the driver.  Defined cases: null or blank texts have ``n_shingles`` 0 and are their own component; repeated rows of
 one id are one document, linked through any of them, with a result row each; a null id keeps its row and links nothing; empty tables
@@ -40,6 +40,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 TOKENS_PER_MESSAGE = 3_000_000
 DOCS_PER_RANGE = 2500
+PIVOT_ROUNDS = 5
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -203,37 +204,64 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100 * common >= {percent} * (na + nb - common)")).select("a", "b")
 
 
+def may_link(percent: int, x: tuple[str, str], y: tuple[str, str]) -> F.Column:
+    """Size and positional filter of a pair that meets at a shingle: x and y name (set size, shared shingles from the meeting on).
+
+    At the pair's first common shingle the rest of either side bounds the intersection; at later ones the bound is lower still, so a pair
+    that may link passes at its first."""
+    (nx, rx), (ny, ry) = x, y
+    return F.expr(f"{100 + percent} * least({rx}, {ry}) >= {percent} * ({nx} + {ny})")
+
+
 def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) over documents (doc, n, u, tokens) that may link; u: shingles that no other class has."""
     fit = F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 - u as int)")
     cand = sets.withColumn("tokens", F.array_sort("tokens")).withColumn("prefix", F.slice("tokens", F.lit(1), fit))
     cand = scratch.persist_table(cand, "candidates")
     grouped = cand.groupBy("n", "u", F.xxhash64("prefix").alias("pkey"), "prefix").agg(F.min("doc").alias("group"))
-    groups = scratch.persist_table(grouped.select("group", "n", "pkey", "u", F.explode("prefix").alias("token")), "group-tokens")
+    at = grouped.select("group", "n", F.expr("n - u").alias("s"), F.posexplode("prefix").alias("i", "token"))
+    groups = scratch.persist_table(at.select("group", "n", (F.col("s") - F.col("i")).alias("rest"), "token"), "group-tokens")
     members = scratch.persist_table(cand.select("doc", "n", "u", F.xxhash64("prefix").alias("pkey")).join(grouped.select("group", "n", "u", "pkey"), ["n", "u", "pkey"]).select("doc", "group"), "members")
-    sizes = groups.select("group", "n", "token")
 
-    # inside a group: every member against the group's own document, then the general rounds take what is left
-    tried = members.where("doc <> `group`").select(F.col("group").alias("a"), F.col("doc").alias("b"))
-    # between groups: every group of a prefix shingle against the bucket's pivot among sizes that can link
+    # inside a group: every member against the group's own document; between groups: every group of a bucket against a pivot of a size
+    # that can link
+    inside = members.where("doc <> `group`").select(F.col("group").alias("a"), F.col("doc").alias("b"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    pivot = sizes.withColumn("band", band).groupBy("token", "band").agg(F.min(F.struct("group", "n")).alias("p"), F.count("*").alias("c"))
-    first = sizes.withColumn("band", F.explode(F.array(band, band - 1))).join(pivot, ["token", "band"]).where(F.expr(f"`group` <> p.`group` and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)"))
+    pivot = groups.withColumn("band", band).groupBy("token", "band").agg(F.min(F.struct("group", "n", "rest")).alias("p"))
+    first = groups.withColumn("band", F.explode(F.array(band, band - 1))).join(pivot, ["token", "band"]).where(F.col("group") != F.col("p.group"))
+    first = first.where(may_link(percent, ("n", "rest"), ("p.n", "p.rest")))
     stars = first.select(F.least("group", "p.group").alias("a"), F.greatest("group", "p.group").alias("b"))
-    tried = scratch.persist_table(tried.union(stars).distinct(), "tried")
+    tried = scratch.persist_table(inside.union(stars).distinct(), "tried")
     edges = scratch.persist_table(verify(tried, cand, percent), "links")
     comp = connected_components(edges)
-    # the rest: all pairs of one bucket that cross components, the bucket's largest component on one side at most
-    docs = members.join(groups.select("group", "n", "token"), "group").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", F.coalesce("root", "doc").alias("root"))
-    parts = docs.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    main = parts.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.min("lo").alias("all_lo"))
-    many = main.where("roots > 1").select("token", F.col("m.root").alias("main"))
-    docs = scratch.persist_table(docs.join(many, "token"), "cross")
-    minor = docs.where("root <> main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    cross = minor.join(docs, "token").where(F.expr(f"rx <> root and 100 * least(nx, n) >= {percent} * greatest(nx, n) and (root = main or x < doc)"))
+    docs = members.join(groups, "group").select("token", "doc", "n", "rest")
+
+    def crossing(docs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components, with their component and the bucket's largest."""
+        now = docs.select("token", "doc", "n", "rest").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        parts = now.groupBy("token", "root").agg(F.count("*").alias("c"))
+        main = parts.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
+        return scratch.persist_table(now.join(main.where("roots > 1").select("token", F.col("m.root").alias("main")), "token"), "cross")
+
+    for k in range(PIVOT_ROUNDS):
+        # a further pivot of the largest component for the members outside it
+        docs = crossing(docs, comp)
+        pivot = docs.where("root = main").groupBy("token").agg(F.min_by(F.struct("doc", "n", "rest"), F.xxhash64("doc", F.lit(k))).alias("p"))
+        pairs = docs.where("root <> main").join(pivot, "token").where(may_link(percent, ("n", "rest"), ("p.n", "p.rest")))
+        pairs = pairs.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
+        new = scratch.persist_table(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        links = scratch.persist_table(verify(new, cand, percent), "links")
+        tried = tried.union(new)
+        if not links.limit(1).count():
+            break
+        edges = edges.union(links)
+        comp = connected_components(edges)
+    # the rest: every pair of a bucket that crosses components, at most one side in the bucket's largest
+    docs = crossing(docs, comp)
+    minor = docs.where("root <> main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("restx"), F.col("root").alias("rx"))
+    cross = minor.join(docs, "token").where(F.expr("rx <> root and (root = main or x < doc)") & may_link(percent, ("nx", "restx"), ("n", "rest")))
     cross = cross.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    cross = cross.join(tried, ["a", "b"], "left_anti")
-    more = scratch.persist_table(verify(cross, cand, percent), "links")
+    more = scratch.persist_table(verify(cross.join(tried, ["a", "b"], "left_anti"), cand, percent), "links")
     if more.limit(1).count():
         comp = connected_components(edges.union(more))
     return comp
