@@ -14,11 +14,13 @@ from .language_id import op10_language_id
 from .packing import op2_packing
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op1_token_counts
+from .toxicity import op3_toxicity
 from .url_filter import op4_url_filter
 
 ALL = (
     op1_token_counts,
     op2_packing,
+    op3_toxicity,
     op4_url_filter,
     op5_chat_format,
     op6_ngram_jaccard_join,
