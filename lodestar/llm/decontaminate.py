@@ -111,7 +111,8 @@ def index_and_terms(documents: DataFrame, benchmark: DataFrame, window: int = WI
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, items) for each document row."""
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash) for each document row; with its id, the hash
+    (xxhash64) of the text says which row it is."""
     index, terms, n_words = index_and_terms(documents, benchmark, window, id_col, text_col, item_col, item_text)
     found = phrase_matches(index, terms, n_words).distinct()
     hit = found.groupBy("doc", "tid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
@@ -128,12 +129,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.size(items) >= min_items).alias("contaminated"),
         items.alias("items"),
+        F.col("tid").alias("text_hash"),
     )
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact benchmark windows in whole ``documents``."""
-    return decontaminate(scratch.load(spark, sf_dir, "documents"), scratch.load(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate(scratch.load(spark, sf_dir, "documents"), scratch.load(spark, sf_dir, "benchmark")).drop("items", "text_hash")
 
 
 OP7_SQL = r"""

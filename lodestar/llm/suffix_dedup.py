@@ -180,14 +180,22 @@ def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
     return back
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row; ``kept`` is the remaining bytes."""
+def docs_id(id_col: str) -> F.Column:
+    """The id column, as the operator names it."""
+    return F.col(id_col).cast("long").alias("doc")
+
+
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, carry: list[str] | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; with ``carry`` also ``row``, a struct of these columns of the row, and
+    ``kept``, the remaining text (a character that a border cuts goes with the removed part)."""
+    keep_text = carry is not None
     text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"))
+    docs = df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"))
+    full = docs.withColumn("row", F.lit(0)) if carry is None else df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"), F.struct(*carry).alias("row"))
     back = repeated_starts(docs, length, k)
     spans = back.groupBy("doc", "tid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = spans.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "spans")
-    both = docs.join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "t", "spans")
+    both = full.join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "t", "spans", *(["row"] if keep_text else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,12 +217,14 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 count.append(len(s))
                 digest.append(hashlib.sha256(left).hexdigest())
                 if keep_text:
-                    kept.append(left)
+                    kept.append(left.decode("utf-8", "ignore"))
             cols = [b.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.binary())] if keep_text else cols, names=[*names, "kept"] if keep_text else names)
+            yield pa.RecordBatch.from_arrays([*cols, b.column(3), pa.array(kept, pa.string())] if keep_text else cols, names=[*names, "row", "kept"] if keep_text else names)
 
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if keep_text:
+        schema += f", row {full.schema['row'].dataType.simpleString()}, kept string"
     return both.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
 
 
