@@ -30,8 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model learns from the labelled folds only; a document's own label plays no part in keeping it."""
     docs = _columns(docs)
     model = language_id.fit(docs.where(~language_id.held_out()))
-    named = language_id.predict(docs.withColumn("row", F.struct(*COLUMNS)), model, id_col="row", text_col="text")
-    return named.where("lang_pred <> 'und'").select("row.*")
+    return _columns(language_id.predict(docs, model, carry=list(COLUMNS)).where("lang_pred <> 'und'"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textvec as V
 
-SAMPLE_DOCS, TOP_WORDS, TOP_GRAMS, LONGEST, CACHE = 20_000, 30_000, 8_000, 6, 400_000
+SAMPLE_DOCS, TOP_WORDS, TOP_GRAMS, LONGEST, CACHE = 20_000, 30_000, 8_000, 6, 200_000
 MISSING = 1.5  # decades below the rarest entry that a word or n-gram absent from a language costs
 _letters: list[np.ndarray] = []
 _models: dict[str, tuple[V.Memo, np.ndarray]] = {}
@@ -140,13 +140,17 @@ def word_scores(t: Text, which: np.ndarray, model: dict) -> np.ndarray:
     return out
 
 
-def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row; score is the winner's share over all languages of 10 to the mean log frequency, sharpened by
-    the number of words (20 at most)."""
+def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(id, lang_pred, score) for every row, or with ``carry`` these columns in the id's place; score is the winner's share over all
+    languages of 10 to the mean log frequency, sharpened by the number of words (20 at most)."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by top_words and top_grams per language
     key = f"{id(model)}-{np.random.default_rng().integers(1 << 60)}"
-    kind = df.schema[id_col].dataType.simpleString()
+    kept = [id_col] if carry is None else carry
+    picked = df.select(*kept) if text_col in kept else df.select(*kept, text_col)
+    where = picked.columns.index(text_col)
+    if picked.schema[text_col].dataType.simpleString() != "string":
+        picked = picked.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -155,8 +159,8 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             _models.clear()
             _models[key] = (V.Memo(CACHE), np.zeros((0, k), np.float32))
         for b in batches:
-            best, score = [], []
-            for r0, r1, data, off in V.chunks(V.binary(b.column(1))):
+            names = np.array([*m["langs"], "und"], object)
+            for r0, r1, data, off in V.chunks(V.binary(b.column(where))):
                 t = Text(data, off)
                 n = r1 - r0
                 words = np.bincount(t.row, minlength=n)
@@ -176,19 +180,15 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     own = row[inverse]
                     for j in range(k):
                         mean[:, j] = np.bincount(t.row, weights=table[own, j], minlength=n) / np.maximum(words, 1)
+                best, score = np.full(n, -1), np.zeros(n)
                 if k:
                     sharp = 10.0 ** ((mean - mean.max(axis=1, keepdims=True)) * np.minimum(words, 20)[:, None])
-                    best.append(np.where(words > 0, mean.argmax(axis=1), -1))
-                    score.append(np.where(words > 0, 1 / sharp.sum(axis=1), 0.0))
-                else:
-                    best.append(np.full(n, -1))
-                    score.append(np.zeros(n))
-            names = np.array([*m["langs"], "und"], object)
-            if best:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))], names=["id", "lang_pred", "score"])
+                    best, score = np.where(words > 0, mean.argmax(axis=1), -1), np.where(words > 0, 1 / sharp.sum(axis=1), 0.0)
+                part = b.slice(r0, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(kept)])
+    return picked.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

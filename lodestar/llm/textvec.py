@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -22,7 +22,7 @@ def _powers(base: int, n: int, key: str) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64 (kept and doubled when a longer text comes)."""
     have = _pow.get(key)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 16)
+        size = max(n, 2 * CHUNK_BYTES)
         out = np.empty(size, np.uint64)
         out[0] = 1
         done = 1
@@ -30,12 +30,17 @@ def _powers(base: int, n: int, key: str) -> np.ndarray:
             step = min(done, size - done)
             out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
-        if size > 8 * CHUNK_BYTES:  # powers for a giant text are not kept
+        if size > 16 * CHUNK_BYTES:  # powers for a giant text are not kept
             return out
         _pow[key] = have = out
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the polynomial hashes' base."""
+    return _powers(_MULT, n, "p")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

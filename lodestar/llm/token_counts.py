@@ -23,7 +23,7 @@ from . import textvec as V
 from .bpe import KIND, Words, WordVocab
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _vocab: dict[str, WordVocab] = {}
 _counts: dict[str, tuple[V.Memo, np.ndarray]] = {}
 
