@@ -189,6 +189,16 @@ def text_logits(net: Net, table: np.ndarray, row: np.ndarray, counts: np.ndarray
     return best, doc, first, logit
 
 
+def gate_table(net: Net, ids: np.ndarray, starts: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """Gate inputs of all words, whose features are ids[starts[w]:starts[w + 1]]."""
+    parts = []
+    for a in range(0, len(starts) - 1, block):
+        cut = starts[a : a + block + 1]
+        own = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        parts.append(net.gate_inputs(ids[cut[0] : cut[-1]], own, len(cut) - 1))
+    return np.concatenate(parts)
+
+
 def fit_texts(texts: list[str], y: np.ndarray, rate: float, epochs: int = EPOCHS, seed: int = 1) -> dict:
     """Train on labelled texts; rate: the share of toxic texts among all labels.  Returns the net and its calibration."""
     rng = np.random.default_rng(seed)
@@ -197,17 +207,29 @@ def fit_texts(texts: list[str], y: np.ndarray, rate: float, epochs: int = EPOCHS
         return {"net": net, "scale": 0.0, "shift": float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))}
     order = rng.permutation(len(texts))
     texts, y = [texts[i] for i in order], y[order].astype(np.float32)
-    col = V.binary(pa.array(texts, pa.string()))
-    data, off = V.raw(col)
-    t = Text(data, off)
-    uniq, first, word = np.unique(t.hash, return_index=True, return_inverse=True)
-    ids, own = features(t, first)
-    counts = np.bincount(t.row, minlength=len(texts))
+    # words as numbers, chunk by chunk: only numbers and the distinct words' features stay
+    memo, words, sizes, feature_parts, size_parts = V.Memo(1 << 60), [], [], [], []
+    for _, _, data, off in V.chunks(V.binary(pa.array(texts, pa.string()))):
+        t = Text(data, off)
+        sizes.append(np.bincount(t.row, minlength=len(off) - 1))
+        uniq, first, inverse = np.unique(t.hash, return_index=True, return_inverse=True)
+        at = memo.find(uniq)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            f, w = features(t, first[new])
+            feature_parts.append(f.astype(np.int32))
+            size_parts.append(np.bincount(w, minlength=len(new)))
+            at[new] = memo.add(uniq[new])
+        words.append(at[inverse].astype(np.int32))
+    word, counts = np.concatenate(words), np.concatenate(sizes)
+    if not memo.size:
+        return {"net": net, "scale": 0.0, "shift": float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))}
+    ids, starts = np.concatenate(feature_parts), np.append(0, np.cumsum(np.concatenate(size_parts)))
+    del feature_parts, size_parts, words
     base = np.cumsum(counts) - counts
     aside = np.arange(len(texts)) % 5 == 4
     # log odds of each feature by the texts that have it
     n_features = len(net.p["E"])
-    starts = np.searchsorted(own, np.arange(len(uniq) + 1))
     seen = [np.zeros(n_features), np.zeros(n_features)]
     for k in np.flatnonzero(~aside):
         w = np.unique(word[base[k] : base[k] + counts[k]])
@@ -229,7 +251,7 @@ def fit_texts(texts: list[str], y: np.ndarray, rate: float, epochs: int = EPOCHS
             left = np.minimum(counts[doc] - at, WINDOW)
             score = total[base[doc] + at + left] - total[base[doc] + at]
         else:
-            _, doc, at, score = text_logits(net, net.gate_inputs(ids, own, len(uniq)), word, counts)
+            _, doc, at, score = text_logits(net, gate_table(net, ids, starts), word, counts)
         order = np.lexsort((score, doc))
         last = np.append(np.flatnonzero(doc[order][1:] != doc[order][:-1]), len(order) - 1)
         best = order[last]
@@ -263,7 +285,7 @@ def fit_texts(texts: list[str], y: np.ndarray, rate: float, epochs: int = EPOCHS
                 s *= 0.99
                 s += 0.01 * v * v
                 net.p[k] -= (rate_now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    best, *_ = text_logits(net, net.gate_inputs(ids, own, len(uniq)), word, counts)
+    best, *_ = text_logits(net, gate_table(net, ids, starts), word, counts)
     # calibration on the texts set aside, weighted to the label rate
     use = aside if len(set(y[aside].tolist())) == 2 else np.ones(len(y), bool)
     z, label = best[use], y[use]
@@ -305,7 +327,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
             _tables[key] = (V.Memo(CACHE), np.zeros((0, 6 * HIDDEN), np.float32))
         for b in batches:
             scores, sizes = [], []
-            for r0, r1, data, off in V.chunks(V.binary(b.column(1)), V.CHUNK_BYTES // 2):
+            for r0, r1, data, off in V.chunks(V.binary(b.column(1)), V.CHUNK_BYTES):
                 t = Text(data, off)
                 counts = np.bincount(t.row, minlength=r1 - r0)
                 memo, table = _tables[key]
