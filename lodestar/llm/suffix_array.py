@@ -31,6 +31,20 @@ UNIT = V.unit_table(512, 31)
 Blocks = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
+def joined(blocks: list[tuple[np.ndarray, np.ndarray]]) -> Blocks:
+    """The same tuples in blocks of about BLOCK: many small blocks would cost a step each."""
+    group: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for b in blocks:
+        group.append(b)
+        size += len(b[0])
+        if size >= BLOCK:
+            yield (b if len(group) == 1 else (np.concatenate([x[0] for x in group]), np.concatenate([x[1] for x in group])))
+            group, size = [], 0
+    if group:
+        yield (group[0] if len(group) == 1 else (np.concatenate([x[0] for x in group]), np.concatenate([x[1] for x in group])))
+
+
 class BucketQueue:
     """A disk-backed monotone priority queue: tuples of one key come out in the order they went in (or in reverse)."""
 
@@ -65,13 +79,13 @@ class BucketQueue:
                 rec = np.fromfile(path + ".read", self.RECORD, min(BLOCK, n - a), offset=a * self.RECORD.itemsize)
                 yield rec["pos"].astype(np.int64), rec["lcp"].astype(np.uint16)
             os.remove(path + ".read")
-        yield from held
+        yield from joined(held)
 
     def pop_reversed(self, key: int) -> Blocks:
         """All tuples of ``key``, last first."""
         n, held = self.spilled.pop(key, 0), self.held.pop(key, [])
         self.bytes -= sum(p.nbytes + m.nbytes for p, m in held)
-        for p, m in reversed(held):
+        for p, m in reversed(list(joined(held))):
             yield p[::-1], m[::-1]
         if n:
             path = f"{self.base}-{key}"
@@ -172,14 +186,17 @@ class SuffixSorter:
             return out
         h = V.prefix_hash(UNIT[self.t])
         n = len(self.t)
+        power = V.powers(n)
         for x in range(1, len(order), BLOCK):
             a, b = order[x - 1 : x - 1 + BLOCK][: len(order) - x], order[x : x + BLOCK]
+            ha, hb, pa, pb = h[a], h[b], power[a], power[b]
             lo, hi = np.zeros(len(b), np.int64), np.minimum(self.cap, n - np.maximum(a, b))
             while (lo < hi).any():
                 mid = (lo + hi + 1) // 2
-                same = V.span_hash(h, a, a + mid) == V.span_hash(h, b, b + mid)
+                same = (h[a + mid] - ha) * pb == (h[b + mid] - hb) * pa
                 lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
             out[x : x + BLOCK] = lo
+        del h, power
         return out
 
     def run_length(self, pos: int) -> int:

@@ -130,6 +130,7 @@ def shard_groups(table: pa.Table, length: int) -> pa.Table:
         twice = weight >= 2  # alone in its group, but the run itself occurs more than once
         flag[V.ragged(base[twice], np.diff(off)[twice] - length + 1)] = True
         del t
+    V.trim()
     first, stop = V.runs(flag[: off[-1] + n], np.append(base, off[-1] + n))
     run = np.searchsorted(base, first, "right") - 1
     take = pa.array(run)
@@ -200,6 +201,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = V.raw(V.binary(b.column(1)))
+            V.trim()
             spans = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)
             flat = spans.flatten()
             first, last = np.asarray(flat.field(0)), np.asarray(flat.field(1))

@@ -6,6 +6,7 @@ memory is bounded by the chunk or by the largest single text, not by the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ def _powers(base: int, n: int, key: str) -> np.ndarray:
             step = min(done, size - done)
             out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
-        if size > 16 * CHUNK_BYTES:  # powers for a giant text are not kept
+        if size > 4 * CHUNK_BYTES:  # powers for a giant text are not kept
             return out
         _pow[key] = have = out
     return have[:n]
@@ -156,6 +157,15 @@ def sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n).astype(np.int64) if len(rows) else np.zeros(n, np.int64)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker keeps its process from task to task, and large arrays leave holes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 class Memo:
     """A bounded map from 64-bit keys to rows of parallel arrays, kept in sorted numpy arrays (a worker's cache across batches)."""
 
