@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 TOKENS_PER_MESSAGE = 1_500_000
-DOCS_PER_RANGE = 2500
+DOCS_PER_RANGE = 1250
 PIVOT_ROUNDS = 5
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -131,6 +131,7 @@ def messages(df: DataFrame, ranges: int, width: int) -> DataFrame:
                 if waiting > TOKENS_PER_MESSAGE:
                     yield flush()
                     kept, waiting = {}, 0
+                    V.trim()
         rest = flush()
         if rest is not None:
             yield rest
@@ -193,6 +194,7 @@ def range_rows(table: pa.Table) -> pa.Table:
             lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(c)), pa.int32()), pa.array(t))
             none = pa.nulls(len(at), pa.int64())
             out.append(pa.Table.from_arrays([none, none, pa.array(c[at]), lists], schema=SHARED))
+        V.trim()
     return pa.concat_tables(out)
 
 

@@ -28,7 +28,7 @@ from .language_id import Text
 
 WINDOW, STRIDE, HIDDEN, DIM = 32, 16, 12, 12
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 8192, 24576, (3, 4, 5)
-TOXIC_DOCS, CLEAN_DOCS, EPOCHS, BATCH, CACHE = 2500, 4000, 10, 64, 120_000
+TOXIC_DOCS, CLEAN_DOCS, EPOCHS, BATCH, CACHE = 2000, 3000, 10, 64, 120_000
 THRESHOLD = 0.3
 _tables: dict[str, tuple[V.Memo, np.ndarray]] = {}
 
