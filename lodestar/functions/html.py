@@ -132,9 +132,12 @@ def repeated_unquote(c: Column, rounds: int = 3) -> Column:
 
 
 def query_map(url: Column) -> Column:
-    """The query string's parameters."""
+    """The query string's parameters; the first value of a repeated one."""
     q = F.regexp_extract(url, URL, 4)
-    return F.when(q == "", F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(F.transform(F.array_distinct(F.transform(F.split(q, "&"), lambda p: F.substring_index(p, "=", 1))), lambda k: F.struct(k.alias("key"), F.regexp_extract(F.concat(F.lit("&"), q), F.concat(F.lit("&"), k, F.lit("=([^&]*)")), 1).alias("value")))))
+    cut = lambda p: F.instr(p, "=")
+    pairs = F.transform(F.split(q, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.when(cut(p) > 0, F.substring(p, cut(p) + 1, F.length(p))).otherwise("").alias("value")))
+    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda x: x["key"]), p["key"]) == i + 1)
+    return F.when(q == "", F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(first))
 
 
 def page_count(total: Column, rows: int) -> Column:
