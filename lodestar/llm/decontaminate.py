@@ -71,7 +71,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 def build_postings(docs: DataFrame, terms: DataFrame, window: int, n_words: int) -> DataFrame:
     """The stored index: for each document one row with its word count, and one for each posting of an anchor term.
 
-    Columns: row (number of the document row), doc, n_words, h, pos, start (position of the payload's first word), around."""
+    Columns: doc, tid (hash of the text), n_words, h, pos, start (position of the payload's first word), around."""
     exploded = docs.select("doc", "tid", "ws", F.size("ws").alias("n_words"), F.posexplode_outer("ws").alias("pos", "w")).withColumn("h", F.xxhash64("w"))
     marked = exploded.join(small(terms.select("h", F.lit(True).alias("anchor")).distinct(), n_words), "h", "left")
     kept = marked.where(F.col("anchor") | F.col("pos").isNull() | (F.col("pos") == 0))
@@ -116,8 +116,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     index, terms, n_words = index_and_terms(documents, benchmark, window, id_col, text_col, item_col, item_text)
     found = phrase_matches(index, terms, n_words).distinct()
     hit = found.groupBy("doc", "tid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
-    rows = index.where("n_words is not null").select("doc", "tid", "n_words", F.monotonically_increasing_id().alias("_r"))
-    # anchors of several items at a text's first word do not multiply rows: terms are distinct in the index pass
+    rows = index.where("n_words is not null").select("doc", "tid", "n_words")
     hit = hit.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "n_hit", "items")
     out = rows.join(hit, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))

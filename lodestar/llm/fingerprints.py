@@ -162,7 +162,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         now = part = None
         size = 0
         id_type = None
-        for b in batches:
+        for b in V.trimmed(batches):
             id_type = b.column(2).type
             for p, tail, ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if part is not None and p == part and now is None:

@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 TOKENS_PER_MESSAGE = 1_500_000
-DOCS_PER_RANGE = 1250
+DOCS_PER_RANGE = 2500
 PIVOT_ROUNDS = 5
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -111,7 +111,7 @@ def messages(df: DataFrame, ranges: int, width: int) -> DataFrame:
             none = pa.nulls(n, pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=NAMES)
 
-        for b in batches:
+        for b in V.trimmed(batches):
             ids = b.column(0)
             for r0, r1, data, off in V.chunks(V.binary(b.column(1))):
                 sets = shingles(data, off, width)
@@ -218,7 +218,7 @@ def may_link(percent: int, x: tuple[str, str], y: tuple[str, str]) -> F.Column:
 def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) over documents (doc, n, u, tokens) that may link; u: shingles that no other class has."""
     fit = F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 - u as int)")
-    cand = sets.withColumn("tokens", F.array_sort("tokens")).withColumn("prefix", F.slice("tokens", F.lit(1), fit))
+    cand = sets.withColumn("tokens", F.sort_array("tokens")).withColumn("prefix", F.slice("tokens", F.lit(1), fit))
     cand = scratch.persist_table(cand, "candidates")
     grouped = cand.groupBy("n", "u", F.xxhash64("prefix").alias("pkey"), "prefix").agg(F.min("doc").alias("group"))
     at = grouped.select("group", "n", F.expr("n - u").alias("s"), F.posexplode("prefix").alias("i", "token"))

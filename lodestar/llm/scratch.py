@@ -7,6 +7,8 @@ is used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,11 +18,15 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (single machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own.setdefault("dir", None) or _own.__setitem__("dir", tempfile.mkdtemp(prefix="lodestar-")) or _own["dir"]
-    return root.rstrip("/")
+    """The shared folder: ``spark.checkpoint.dir``, else the context's checkpoint folder; a temporary one, removed at exit, only where
+    neither is set (a single machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="lodestar-")
+        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+    return _own["dir"]
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:

@@ -90,7 +90,7 @@ def run_rows(df: DataFrame, length: int, k: int) -> DataFrame:
     """(doc, tid, start, count, anchor, body) of every minimizer run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in V.trimmed(batches):
             for r0, _, data, off in V.chunks(V.binary(b.column(2))):
                 for row0, shift, part, cuts in segments(data, off, length):
                     row, start, count, anchor, body = minimizer_runs(part, cuts, length, k)
@@ -159,7 +159,7 @@ def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
     cut = df.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t"))).select("t", "cut")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in V.trimmed(batches):
             data, off = V.raw(V.binary(b.column(0)))
             cuts = b.column(1)
             flat = cuts.flatten()
@@ -199,7 +199,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = full.join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "t", "spans", *(["row"] if keep_text else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in V.trimmed(batches):
             data, off = V.raw(V.binary(b.column(1)))
             V.trim()
             spans = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)

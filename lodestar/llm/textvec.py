@@ -166,6 +166,13 @@ def trim() -> None:
         pass
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that a batch's work has freed goes back before the next one."""
+    for b in batches:
+        yield b
+        trim()
+
+
 class Memo:
     """A bounded map from 64-bit keys to rows of parallel arrays, kept in sorted numpy arrays (a worker's cache across batches)."""
 

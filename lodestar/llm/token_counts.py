@@ -78,7 +78,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in V.trimmed(batches):
             size, n = count_texts(b.column(1), vocab_path)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 

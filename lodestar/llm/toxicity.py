@@ -325,7 +325,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
         if key not in _tables:
             _tables.clear()
             _tables[key] = (V.Memo(CACHE), np.zeros((0, 6 * HIDDEN), np.float32))
-        for b in batches:
+        for b in V.trimmed(batches):
             scores, sizes = [], []
             for r0, r1, data, off in V.chunks(V.binary(b.column(1)), V.CHUNK_BYTES):
                 t = Text(data, off)
