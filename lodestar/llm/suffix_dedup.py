@@ -10,10 +10,12 @@ Texts are UTF-8 bytes; matches never cross documents; all occurrences go, judged
    from the texts and sent to the shards, a few of the corpus's bytes.
 3. Each shard sorts its suffixes by external induced sorting (see suffix_array) with common prefixes cut at ``length``; a group of suffixes
    that share ``length`` bytes and stand for two or more occurrences is repeated.
-4. Flagged starts go back to all occurrences of their run, and each document's spans are united and cut out.
+4. A shard of more than MOST_BYTES, such as that of a hot passage (one run per distinct surrounding at each of its edges), is not sorted: each
+   of its windows becomes a row, and windows are counted by their exact hash (64 bits, within one anchor) over all tasks.
+5. Flagged starts go back to all occurrences of their run, and each document's spans are united and cut out.
 
-A shard may be far larger than memory: queues spill to the task's own temporary folder, which no other task reads.  An anchor's runs stay in
-one shard, as equal strings have to meet; copies are counted before, so a hot passage is one row per distinct surrounding.
+A sorted shard is held in memory (some 50 bytes for each of its bytes; the queues spill to the task's own temporary folder, which no other
+task reads), which MOST_BYTES bounds.  Step 4 holds no group in memory, but moves a row for each window instead of a byte for each start.
 
 Defined cases: null texts are empty; texts shorter than ``length`` keep everything; repeated rows are occurrences of their own (so a repeated
 row of ``length`` bytes or more goes whole); empty tables give empty results; other columns of the input do not matter.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -36,6 +38,8 @@ from . import textvec as V
 
 LENGTH, K = 400, 32
 SHARD_BYTES = 3_000_000
+#: A shard with more bytes than this is counted by window instead of being sorted.
+MOST_BYTES = 12_000_000
 SEGMENT = 32 << 20
 UNIT = V.unit_table(256, 77)
 
@@ -145,6 +149,47 @@ def unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], last[np.append(np.flatnonzero(new)[1:], len(first)) - 1]
 
 
+def with_texts(df: DataFrame, reps: DataFrame) -> DataFrame:
+    """(t, cut): each text of which runs are wanted, with these runs."""
+    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "body", "weight", "start", "count", "shard")).alias("cut"))
+    wanted = wanted.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "cut")
+    return df.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t"))).select("t", "cut")
+
+
+def cut_runs(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(sizes, bytes, the runs' columns) of at most ``limit`` runs at a time."""
+    for b in V.trimmed(batches):
+        data, off = V.raw(V.binary(b.column(0)))
+        cuts = b.column(1)
+        flat = cuts.flatten()
+        cols = [np.asarray(flat.field(i)) for i in range(6)]
+        row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(cuts.offsets)))
+        for a in range(0, len(row), limit):
+            part = [c[a : a + limit] for c in cols]
+            size = part[4] + length - 1
+            yield size, data[V.ragged(off[row[a : a + limit]] + part[3], size)], part
+
+
+def window_groups(cut: DataFrame, length: int) -> DataFrame:
+    """(anchor, body, first, last) ranges of repeated starts of each run, as :func:`shard_groups`, by counting whole windows: no task needs
+    more than its own rows, however many runs an anchor has."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, blob, (anchor, body, weight, _, count, _) in cut_runs(batches, length, 128):
+            base = np.cumsum(size) - size
+            at = V.ragged(base, count)
+            run = np.repeat(np.arange(len(count)), count)
+            h = V.span_hash(V.prefix_hash(UNIT[blob]), at, at + length).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[run]), pa.array(body[run]), pa.array(at - base[run]), pa.array(weight[run]), pa.array(h)], names=["anchor", "body", "first", "weight", "h"])
+
+    rows = cut.mapInArrow(windows, "anchor long, body long, first long, weight long, h long")
+    twice = scratch.persist_table(rows.groupBy("anchor", "h").agg(F.sum("weight").alias("n")).where("n >= 2").select("anchor", "h"), "windows")
+    starts = rows.join(twice, ["anchor", "h"], "left_semi").select("anchor", "body", "first")
+    place = F.row_number().over(Window.partitionBy("anchor", "body").orderBy("first"))
+    stretch = starts.withColumn("stretch", F.col("first") - place).groupBy("anchor", "body", "stretch")
+    return stretch.agg(F.min("first").alias("first"), F.max("first").alias("last")).drop("stretch")
+
+
 def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
     """(doc, tid, first, last): byte ranges covered by repeated strings, for each document (``df``: doc, tid, t)."""
     runs = scratch.persist_table(run_rows(df, length, k), "runs")
@@ -154,28 +199,20 @@ def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
     reps = scratch.persist_table(reps.select("anchor", "body", "weight", "r.*"), "representatives")
     volume = reps.agg(F.coalesce(F.sum(F.col("count") + (length - 1)), F.lit(0))).first()[0]
     shards = max(1, volume // SHARD_BYTES + 1)
-    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "body", "weight", "start", "count")).alias("cut"))
-    wanted = wanted.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "cut")
-    cut = df.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t"))).select("t", "cut")
+    reps = reps.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    sizes = reps.groupBy("shard").agg(F.sum(F.col("count") + (length - 1)).alias("size"))
+    large = F.col("shard").isin([r.shard for r in sizes.where(F.col("size") > MOST_BYTES).collect()])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in V.trimmed(batches):
-            data, off = V.raw(V.binary(b.column(0)))
-            cuts = b.column(1)
-            flat = cuts.flatten()
-            anchor, body, weight, start, count = (np.asarray(flat.field(i)) for i in range(5))
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(cuts.offsets)))
-            for a in range(0, len(row), 4096):
-                x = slice(a, a + 4096)
-                size = count[x] + length - 1
-                blob = data[V.ragged(off[row[x]] + start[x], size)]
-                ends = np.append(0, np.cumsum(size)).astype(np.int64)
-                col = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(blob)]).cast(pa.binary())
-                shard = (V.mix(anchor[x].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(anchor[x]), pa.array(body[x]), pa.array(weight[x]), col], names=["shard", "anchor", "body", "weight", "bytes"])
-
-    sent = cut.mapInArrow(pieces, "shard long, anchor long, body long, weight long, bytes binary")
+        for size, blob, (anchor, body, weight, _, _, shard) in cut_runs(batches, length, 4096):
+            ends = np.append(0, np.cumsum(size)).astype(np.int64)
+            col = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(blob)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(anchor), pa.array(body), pa.array(weight), col], names=["shard", "anchor", "body", "weight", "bytes"])
+
+    sent = with_texts(df, reps.where(~large)).mapInArrow(pieces, "shard long, anchor long, body long, weight long, bytes binary")
     found = sent.groupBy("shard").applyInArrow(lambda t: shard_groups(t, length), "anchor long, body long, first long, last long")
+    if not reps.where(large).isEmpty():
+        found = found.unionByName(window_groups(with_texts(df, reps.where(large)), length))
     found = scratch.persist_table(found, "repeated")
     back = kept.join(found, ["anchor", "body"]).select("doc", "tid", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + length).alias("last"))
     return back

@@ -48,3 +48,20 @@ def test_repeated_rows_and_empty(spark):
     assert sd.suffix_dedup(spark.createDataFrame([], schema)).count() == 0
     got = sd.suffix_dedup(spark.createDataFrame([(1, "x" * 10 + "abc"), (1, "x" * 10 + "abc"), (None, "abcabcabcabcabc"), (2, None)], schema), length=13, k=4).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 13), (1, 13), (2, 0)]
+
+
+def test_hot_passage_is_not_sorted_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, most, sort = noise(60), 1500, sd.shard_groups
+    texts = [noise(rng.randint(20, 60)) + passage + noise(rng.randint(20, 60)) for _ in range(80)]
+    texts += [texts[0], texts[1][10:], noise(90), passage, "b" * 70, None]
+
+    def bounded(table, length):
+        assert sum(len(x) for x in table["bytes"].to_pylist()) <= most
+        return sort(table, length)
+
+    monkeypatch.setattr(sd, "SHARD_BYTES", 400)
+    monkeypatch.setattr(sd, "MOST_BYTES", most, raising=False)
+    monkeypatch.setattr(sd, "shard_groups", bounded)
+    assert rows(spark, texts, 24, 6) == brute(texts, 24)
