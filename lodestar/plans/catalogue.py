@@ -400,8 +400,8 @@ def vectors(spark, d):  # noqa: ANN001, ANN201
     return rows.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("v"), "label"), asked
 
 
-def vector_sql(where: str = "true") -> str:
-    return f"""WITH s AS (SELECT 'q' || q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 7) AND {where})
+def vector_sql(where: str = "true", asked: str = "IN (0, 7)") -> str:
+    return f"""WITH s AS (SELECT 'q' || q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id {asked} AND {where})
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 4) AS score FROM s QUALIFY rank <= 20"""
 
 
@@ -418,6 +418,25 @@ def vector_allowlist(spark, d):  # noqa: ANN001, ANN201
     return vector.vector_search(rows, asked, 20, allowed).select("query_id", "rank", F.col("ord").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+def all_asked(spark, d):  # noqa: ANN001, ANN201
+    """(vectors, queries): every row whose id is divisible by 20 is a query."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), F.col("vec_id")).alias("query_id"), F.col("embedding").alias("qv"))
+    return rows.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("v"), "label"), asked
+
+
+@query(vector_sql(asked="% 20 = 0"))
+def vector_topk_all(spark, d):  # noqa: ANN001, ANN201
+    rows, asked = all_asked(spark, d)
+    return vector.vector_search_blocks(rows, asked, 20).select("query_id", "rank", F.col("ord").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@query(vector_sql("e.label = 3", "% 20 = 0"))
+def vector_allowlist_all(spark, d):  # noqa: ANN001, ANN201
+    rows, asked = all_asked(spark, d)
+    return vector.vector_search_blocks(rows.where("label = 3"), asked, 20).select("query_id", "rank", F.col("ord").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 # ---- evaluation
 
 def judged(spark, d):  # noqa: ANN001, ANN201
