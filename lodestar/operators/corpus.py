@@ -82,24 +82,28 @@ def frontier_step(fetched: DataFrame, visited: DataFrame, url_col: str = "url",
     return first.join(visited.select("url").distinct(), "url", "left_anti")
 
 
-def crawl(seeds: DataFrame, store: DataFrame, max_pages: int = 100, follow: bool = True, domains: tuple[str, ...] = ()) -> DataFrame:
+def crawl(seeds: DataFrame, store: DataFrame, max_pages: int | None = 100, follow: bool = True, domains: tuple[str, ...] = ()) -> DataFrame:
     """Breadth-first crawl over a table of pages (url, html) that stands for the network: (url, level, html, status).
 
-    The frontier, not the pages, is what loops on the driver: one join a level, at most ``max_pages`` urls in all."""
-    urls = [r.u for r in seeds.select(H.normalize_url(F.col("url")).alias("u")).limit(max_pages).collect()]
-    spark, level, seen, parts = seeds.sparkSession, 0, [], None
-    queue = list(dict.fromkeys(urls))
+    At most ``max_pages`` urls in all, None: all that are found.  Frontier and visited urls stay tables; the driver counts the levels."""
+    spark, level, n, seen, parts = seeds.sparkSession, 0, 0, None, None
+    shared = spark.sparkContext.getCheckpointDir()  # a folder that executors share; none on a single machine
     pages = store.select(H.normalize_url(F.col("url")).alias("url"), "html")
-    while queue and len(seen) < max_pages:
-        now = queue[: max_pages - len(seen)]
-        seen += now
-        asked = spark.createDataFrame([(u, i) for i, u in enumerate(now)], "url string, pos int")
-        got = pages.join(F.broadcast(asked), "url", "right").select("url", F.lit(level).alias("level"), "html", F.when(F.col("html").isNull(), "fetch_error").otherwise("fetched").alias("status"))
+    named = seeds.select(H.normalize_url(F.col("url")).alias("url"), F.monotonically_increasing_id().alias("pos")).where("url is not null")
+    queue, order = named.groupBy("url").agg(F.min("pos").alias("pos")), "pos"
+    while max_pages is None or n < max_pages:
+        now = (queue if max_pages is None else queue.orderBy(order).limit(max_pages - n)).select("url")
+        now = now.checkpoint() if shared else now.localCheckpoint()
+        size = now.count()
+        if not size:
+            break
+        n += size
+        seen = now if seen is None else seen.unionByName(now)
+        got = pages.join(now, "url", "right").select("url", F.lit(level).alias("level"), "html", F.when(F.col("html").isNull(), "fetch_error").otherwise("fetched").alias("status"))
         parts = got if parts is None else parts.unionByName(got)
         if not follow:
             break
-        known = spark.createDataFrame([(u,) for u in seen], "url string")
-        queue = [r.url for r in frontier_step(got.where("html is not null"), known, domains=domains).orderBy("url").limit(max_pages).collect()]
+        queue, order = frontier_step(got.where("html is not null"), seen, domains=domains), "url"
         level += 1
     return parts if parts is not None else spark.createDataFrame([], "url string, level int, html string, status string")
 

@@ -598,6 +598,22 @@ def seed_merge(spark, d):  # noqa: ANN001, ANN201
     return C.new_seeds(found, seeds(spark, d)).select("url")
 
 
+@query("""WITH s AS (SELECT substr(sha1(url), 1, 16) || '.html' AS raw_key, 'unit' || page_id % 5 AS college, 'name' || page_id AS name, url FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)
+SELECT page_id, college AS seed_college, name AS seed_name FROM pages p LEFT JOIN s ON s.raw_key = substr(sha1(p.url), 1, 16) || '.html'""")
+def seed_overlay_all(spark, d):  # noqa: ANN001, ANN201
+    pages = table(spark, d, "pages")
+    own = pages.select("page_id", F.concat(F.lit("unit"), F.col("page_id") % 5).alias("college"), F.concat(F.lit("name"), F.col("page_id")).alias("name"), "url")
+    files = pages.select("page_id", T.raw_key(F.col("url")).alias("raw_key"))
+    return C.overlay_seeds(files, C.last_seeds(own, ["page_id"])).select("page_id", "seed_college", "seed_name")
+
+
+@query()
+def seed_merge_all(spark, d):  # noqa: ANN001, ANN201
+    pages = table(spark, d, "pages")
+    links = pages.select(F.explode(H.discover_links(F.col("url"), F.col("html"), same_domain=False)).alias("url"))
+    return C.new_seeds(links.select(F.lit("c").alias("college"), F.lit("n").alias("name"), "url"), pages.select(H.normalize_url(F.col("url")).alias("url"))).select("url")
+
+
 @query()
 def frontier_step(spark, d):  # noqa: ANN001, ANN201
     pages = table(spark, d, "pages")
@@ -607,7 +623,7 @@ def frontier_step(spark, d):  # noqa: ANN001, ANN201
 @query()
 def crawl(spark, d):  # noqa: ANN001, ANN201
     pages = table(spark, d, "pages")
-    return C.crawl(pages.orderBy("page_id").limit(20), pages, max_pages=60).select("url", "level", "status")
+    return C.crawl(pages, pages, max_pages=None).select("url", "level", "status")
 
 
 @query("""WITH l AS (SELECT doc_id AS id, unnest(range(len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS text FROM documents)

@@ -4,8 +4,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestar.functions import html as H
+from lodestar.operators import corpus as C
 from lodestar.operators import vector
 
 from .test_entry import SF, duck, rows  # noqa: F401
@@ -35,3 +38,40 @@ def test_vector_blocks(spark, monkeypatch):
     got = {(r.query_id, r["rank"]): (r.ord, r.score) for r in vector.vector_search_blocks(df, asked, 5).collect()}
     want = {(f"q{q}", i + 1): (j, v[q] @ v[j]) for q in range(0, 50, 3) for i, j in enumerate(sorted(range(50), key=lambda j: (-(v[q] @ v[j]), j))[:5])}
     assert got == want
+
+
+@pytest.fixture
+def some_pages(spark, tmp_path):
+    """70 pages in chains of 7, each with a link to the next, to a page that is not there and to another host."""
+    page = lambda i: f'<a href="/p{i + 1}">n</a><a href="/gone{i}">g</a><a href="http://other.x/o{i % 3}">o</a>'
+    df = spark.createDataFrame([(i, f"http://h{i // 7}.x/p{i}", page(i)) for i in range(70)], "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    return df
+
+
+def test_crawl_reaches_all_pages(spark, tmp_path, some_pages):
+    urls = {r.url for r in some_pages.collect()}
+    links = {f"http://h{i // 7}.x/{x}" for i in range(70) for x in (f"p{i + 1}", f"gone{i}")}
+    got = {r.url: (r.level, r.status) for r in entry.queries()["crawl"](spark, str(tmp_path)).collect()}
+    assert got == {u: (0, "fetched") if u in urls else (1, "fetch_error") for u in urls | links}
+
+
+def test_crawl_levels_and_limit(spark, some_pages):
+    seeds = some_pages.where("page_id % 7 = 0").orderBy("page_id")
+    every = C.crawl(seeds, some_pages, max_pages=None).collect()
+    assert {r.url: r.level for r in every if r.status == "fetched"} == {f"http://h{i // 7}.x/p{i}": i % 7 for i in range(70)}
+    some = C.crawl(seeds, some_pages, max_pages=13).collect()
+    assert len(some) == 13 and {r.url for r in some if r.level == 0} == {f"http://h{i}.x/p{7 * i}" for i in range(10)}
+
+
+def test_seed_merge_all(spark, tmp_path, some_pages):
+    got = [r.url for r in entry.queries()["seed_merge_all"](spark, str(tmp_path)).collect()]
+    want = {f"http://h{i // 7}.x/gone{i}" for i in range(70)} | {f"http://other.x/o{i}" for i in range(3)} | {f"http://h{i // 7}.x/p{i + 1}" for i in range(6, 70, 7)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@here
+def test_seed_sets_of_whole_tables(spark, duck):  # noqa: F811
+    assert matches_sql(spark, duck, "seed_overlay_all").seed_name.notna().all()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(H.normalize_url(F.col("url")).alias("u"), H.discover_links(F.col("url"), F.col("html"), same_domain=False).alias("l")).collect()
+    assert {r.url for r in entry.queries()["seed_merge_all"](spark, SF).collect()} == {x for r in pages for x in r.l} - {r.u for r in pages}
