@@ -122,6 +122,12 @@ def bm25_batch(spark, d):  # noqa: ANN001, ANN201
     return shown(ranking.top_k(ranking.flat_scores(documents(spark, d), asked), 5))
 
 
+@query(flat_sql_over("SELECT 'b' || item_id AS query_id, text AS query FROM benchmark", 5))
+def bm25_batch_whole(spark, d):  # noqa: ANN001, ANN201
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
+    return shown(ranking.top_k(ranking.flat_scores(documents(spark, d), asked), 5))
+
+
 @query(flat_sql(["heble heble reing", "heble reing"], 10))
 def bm25_dup_terms(spark, d):  # noqa: ANN001, ANN201
     return shown(ranking.top_k(ranking.flat_scores(documents(spark, d), ask(spark, "heble heble reing", "heble reing")), 10))
@@ -439,16 +445,18 @@ def vector_allowlist_all(spark, d):  # noqa: ANN001, ANN201
 
 # ---- evaluation
 
-def judged(spark, d):  # noqa: ANN001, ANN201
+def judged(spark, d, query=None):  # noqa: ANN001, ANN201
+    query = F.substring("text", 1, 60) if query is None else query
     items = table(spark, d, "benchmark")
-    asked = items.select(F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), F.substring("text", 1, 60).alias("query"), F.when(F.col("item_id") % 3 == 0, "a").otherwise("b").alias("category"), "text")
+    asked = items.select(F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), query.alias("query"), F.when(F.col("item_id") % 3 == 0, "a").otherwise("b").alias("category"), "text")
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
     qrels = docs.join(F.broadcast(asked.select("query_id", "text")), F.col("body").contains(F.col("text"))).select("query_id", "doc_id", (F.lit(2) + (F.col("doc_id") % 2)).cast("int").alias("relevance"))
     best = ranking.top_k(ranking.flat_scores(documents(spark, d), asked), 5).withColumnRenamed("ord", "doc_id")
     return best, asked, qrels
 
 
-CASES = f"""b AS ({flat_sql_over("SELECT 'b' || item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark", 5)}),
+def cases_sql(query: str) -> str:
+    return f"""b AS ({flat_sql_over(f"SELECT 'b' || item_id AS query_id, {query} AS query FROM benchmark", 5)}),
 qr AS (SELECT 'b' || item_id AS query_id, doc_id, 2 + doc_id % 2 AS rel FROM benchmark i JOIN documents d ON contains(d.text, i.text)),
 g AS (SELECT query_id, sum((coalesce(rel, 0) >= 2)::INT) AS hits, max(CASE WHEN rel >= 2 THEN 1.0 / rank END) AS mrr, sum((2 ** coalesce(rel, 0) - 1) / log2(rank + 1)) AS dcg FROM b LEFT JOIN qr USING (query_id, doc_id) GROUP BY query_id),
 id AS (SELECT query_id, sum((2 ** rel - 1) / log2(r + 1)) AS idcg FROM (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM qr) WHERE r <= 5 GROUP BY query_id),
@@ -456,6 +464,9 @@ c AS (SELECT 'b' || item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'a' ELSE
   FROM benchmark LEFT JOIN g ON g.query_id = 'b' || item_id LEFT JOIN id ON id.query_id = 'b' || item_id)"""
 
 
+CASES, WHOLE_CASES = cases_sql("substr(text, 1, 60)"), cases_sql("text")
+
+
 @query(f"WITH {CASES} SELECT query_id, category, round(precision, 6)::DOUBLE AS precision, round(mrr, 6)::DOUBLE AS mrr, round(ndcg, 6)::DOUBLE AS ndcg FROM c")
 def eval_metrics(spark, d):  # noqa: ANN001, ANN201
     return evaluate.case_metrics(*judged(spark, d)).select("query_id", "category", r6("precision"), r6("mrr"), r6("ndcg"))
@@ -466,6 +477,16 @@ def eval_by_category(spark, d):  # noqa: ANN001, ANN201
     return evaluate.evaluate(*judged(spark, d)).select("category", "cases", r6("precision"), r6("mrr"), r6("ndcg"))
 
 
+@query(f"WITH {WHOLE_CASES} SELECT query_id, category, round(precision, 6)::DOUBLE AS precision, round(mrr, 6)::DOUBLE AS mrr, round(ndcg, 6)::DOUBLE AS ndcg FROM c")
+def eval_metrics_whole(spark, d):  # noqa: ANN001, ANN201
+    return evaluate.case_metrics(*judged(spark, d, F.col("text"))).select("query_id", "category", r6("precision"), r6("mrr"), r6("ndcg"))
+
+
+@query(f"WITH {WHOLE_CASES} SELECT category, count(*) AS cases, round(avg(precision), 6)::DOUBLE AS precision, round(avg(mrr), 6)::DOUBLE AS mrr, round(avg(ndcg), 6)::DOUBLE AS ndcg FROM c GROUP BY ROLLUP (category)")
+def eval_by_category_whole(spark, d):  # noqa: ANN001, ANN201
+    return evaluate.evaluate(*judged(spark, d, F.col("text"))).select("category", "cases", r6("precision"), r6("mrr"), r6("ndcg"))
+
+
 # ---- pages
 
 def text_sql(c: str = "html") -> str:

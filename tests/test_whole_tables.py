@@ -75,3 +75,18 @@ def test_seed_sets_of_whole_tables(spark, duck):  # noqa: F811
     assert matches_sql(spark, duck, "seed_overlay_all").seed_name.notna().all()
     pages = spark.read.parquet(f"{SF}/pages.parquet").select(H.normalize_url(F.col("url")).alias("u"), H.discover_links(F.col("url"), F.col("html"), same_domain=False).alias("l")).collect()
     assert {r.url for r in entry.queries()["seed_merge_all"](spark, SF).collect()} == {x for r in pages for x in r.l} - {r.u for r in pages}
+
+
+@here
+@pytest.mark.parametrize("name", ["bm25_batch_whole", "eval_metrics_whole", "eval_by_category_whole"])
+def test_whole_texts_match_sql(spark, duck, name):  # noqa: F811
+    matches_sql(spark, duck, name)
+
+
+def test_terms_behind_the_prefix_count(spark, tmp_path):
+    head = "same words at the head of every single text of this small table here "
+    spark.createDataFrame([(i, head + x, "s") for i, x in enumerate(("red", "green", "blue"))], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, head + "blue"), (2, head + "green")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.query_id: r.doc_id for r in entry.queries()["bm25_batch_whole"](spark, str(tmp_path)).where("rank = 1").collect()}
+    assert got == {"b1": 2, "b2": 1}
+    assert [r.mrr for r in entry.queries()["eval_metrics_whole"](spark, str(tmp_path)).collect()] == [1.0, 1.0]
