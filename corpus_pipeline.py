@@ -51,9 +51,13 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 8 consecutive words of a benchmark item go (items of fewer words are too common to tell a leak)."""
-    items = scratch.load(spark, sf_dir, "benchmark").where(F.size(decontaminate.words(F.col("text"))) >= decontaminate.WINDOW)
-    hit = decontaminate.decontaminate(docs, items, min_items=1).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """Documents that hold 8 consecutive words of a benchmark item go, and those that hold two items of any length (one item of fewer words,
+    whole, is too common to tell a leak)."""
+    long = F.size(decontaminate.words(F.col("text"))) >= decontaminate.WINDOW
+    items = scratch.load(spark, sf_dir, "benchmark").select(F.concat(F.when(long, "L").otherwise("S"), F.col("item_id").cast("string")).alias("item_id"), "text")
+    ids = F.array_distinct(F.transform("items", lambda x: F.substring(x, 2, 1 << 30)))
+    leak = F.exists("items", lambda x: x.startswith("L")) | (F.size(ids) >= decontaminate.MIN_ITEMS)
+    hit = decontaminate.decontaminate(docs, items, min_items=1).where(leak).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
     return _columns(docs.join(hit, same, "left_anti"))
 

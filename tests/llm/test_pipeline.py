@@ -52,3 +52,12 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_short_benchmark_items_count(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["x red fox jumps, then a slow green turtle y", "only a red fox jumps here", "one two three four five six seven eight nine", "nothing of it", "red fox jumps red fox jumps"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    items = [(1, "Red fox jumps"), (2, "slow green turtle"), (3, "two three four five six seven eight nine ten"), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in cp.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {1, 3, 4}
