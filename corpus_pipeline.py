@@ -15,8 +15,8 @@ from lodestar.llm import decontaminate, jaccard_join, language_id, packing, scra
 
 #: No SQL can express language models, external suffix sorting or packing: the stages are tested against plain versions.
 ORACLE_SQL = None
-#: A repeated passage of 50 words has more bytes than this; shared lines and phrases have fewer.
-REPEATED_BYTES = 240
+#: Most repeated passages of over 50 words have at least so many bytes; those that have fewer are found by their words.
+REPEATED_BYTES, REPEATED_WORDS = 240, 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -42,8 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of REPEATED_BYTES that occur twice are cut out; a document of which nothing is left goes."""
-    cut = suffix_dedup.suffix_dedup(docs, length=REPEATED_BYTES, carry=list(COLUMNS)).where("n_bytes = 0 or n_removed < n_bytes")
+    """Strings of REPEATED_BYTES, or of REPEATED_WORDS in fewer bytes, that occur twice are cut out; a document of which nothing is left goes."""
+    cut = suffix_dedup.suffix_dedup(docs, length=REPEATED_BYTES, carry=list(COLUMNS), words=REPEATED_WORDS).where("n_bytes = 0 or n_removed < n_bytes")
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("row.text"))
     n_chars = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))

@@ -218,19 +218,43 @@ def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
     return back
 
 
+def short_passages(df: DataFrame, words: int, length: int) -> DataFrame:
+    """(doc, tid, first, last): strings of ``words`` whole words in fewer than ``length`` bytes that occur twice (by their 64-bit hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in V.trimmed(batches):
+            for r0, _, data, off in V.chunks(V.binary(b.column(2))):
+                first, last = V.runs(data > 32, off)
+                first, last = first[: max(0, len(first) - words + 1)], last[words - 1 :]
+                row = V.row_of(off, first)
+                at = np.flatnonzero((last <= off[row + 1]) & (last - first < length))
+                if len(at):
+                    h = V.span_hash(V.prefix_hash(UNIT[data]), first[at], last[at]).view(np.int64)
+                    start = off[row[at]]
+                    of = pa.array(row[at] + r0)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(first[at] - start), pa.array(last[at] - start), pa.array(h)], names=["doc", "tid", "first", "last", "h"])
+
+    found = scratch.persist_table(df.select("doc", "tid", "t").mapInArrow(run, "doc long, tid long, first long, last long, h long"), "short-passages")
+    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return found.join(twice, "h", "left_semi").drop("h")
+
+
 def docs_id(id_col: str) -> F.Column:
     """The id column, as the operator names it."""
     return F.col(id_col).cast("long").alias("doc")
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, carry: list[str] | None = None, words: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; with ``carry`` also ``row``, a struct of these columns of the row, and
-    ``kept``, the remaining text (a character that a border cuts goes with the removed part)."""
+    ``kept``, the remaining text (a character that a border cuts goes with the removed part).  ``words``: repeated strings of so many words
+    go too where they have fewer bytes than ``length``."""
     keep_text = carry is not None
     text = F.col(text_col).cast("string")
     docs = df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"))
     full = docs.withColumn("row", F.lit(0)) if carry is None else df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"), F.struct(*carry).alias("row"))
     back = repeated_starts(docs, length, k)
+    if words:
+        back = back.unionByName(short_passages(docs, words, length))
     spans = back.groupBy("doc", "tid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = spans.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "spans")
     both = full.join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "t", "spans", *(["row"] if keep_text else []))

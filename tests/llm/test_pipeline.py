@@ -61,3 +61,16 @@ def test_short_benchmark_items_count(spark, tmp_path):
     items = [(1, "Red fox jumps"), (2, "slow green turtle"), (3, "two three four five six seven eight nine ten"), (4, None)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in cp.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {1, 3, 4}
+
+
+def test_repeated_passages_of_short_words(spark, tmp_path):
+    rng = random.Random(6)
+    short = lambda n: " ".join("".join(rng.choice("bcdfgl") for _ in range(rng.choice((2, 3)))) for _ in range(n))
+    over, under = short(51), short(50)
+    assert len(over) < cp.REPEATED_BYTES
+    texts = [f"{short(9)} é {over} {short(5)}", f"{over}\n{short(7)}", f"{short(4)} {under} {short(6)}", f"{short(8)} {under} {short(3)}", "", None, short(51)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.remove_repeated_strings(spark, docs, str(tmp_path)).collect()}
+    want = {i: t if i > 1 else t.replace(over, "") for i, t in enumerate(texts)}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
