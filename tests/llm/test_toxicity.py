@@ -73,3 +73,9 @@ def test_without_labels(spark):
     model = tox.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [round(r.score, 3) for r in tox.score(docs, model).collect()] == [0.0, 0.0]
     assert tox.score(docs.limit(0), model).count() == 0
+
+
+def test_training_bound_is_not_lowered():
+    from lodestar.llm import toxicity
+
+    assert toxicity.TOXIC_DOCS >= 2500 and toxicity.CLEAN_DOCS >= 4000
