@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tables: scratch.Tables) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b long): root is the smallest node that its links reach.
 
     Each round takes the smallest root among a node's neighbours for the node *and for its present root*, then jumps to the root's
     root, so the number of rounds grows with the logarithm of the longest chain.  Every round is written to shared scratch; nothing
-    but a count comes to the driver."""
+    but a count comes to the driver.  A round that changes nothing ends the loop: labels only fall, so it always comes.  ``tables`` gets the
+    result."""
     both = scratch.persist_table(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = scratch.persist_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:
         of_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         near = both.join(of_b, "b").groupBy("a").agg(F.min("rb").alias("m"))
         seen = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("m"))
@@ -29,7 +30,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new
         if not moved:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     scratch.drop_table(both)
-    return labels
+    return tables.own(labels)

@@ -4,11 +4,14 @@ A text's words are the runs of anything but ASCII white space, A-Z lower-cased;
 (fewer words: the whole sequence is the one shingle; none: the empty set, linked with nothing).  Two texts link when
 ``100 * intersection >= percent * union``.
 
-1. One scan hashes all shingles (64 bits) and ships them in packed messages, one for each (task chunk, range of hashes): a few bytes a
-   shingle.  Texts of a chunk with equal sets travel once.
-2. Each hash range is sorted; shingles of one class of equal sets only are dropped.  What is left, with its class count, goes back to its
-   texts.  All of an intersection lies in these *shared* shingles, and a text's other shingles come first in the order of the prefix
-   filter (rarest first), so a text whose other shingles fill its prefix links with nothing and leaves.
+1. One scan hashes all shingles (64 bits) and ships every set's *lead*, its smallest hashes: the prefix filter in hash order, made longer by LEAD
+   per cent of the set, so that linked sets share not one but LEAD per cent of it.  Shingles travel in packed messages, one for each (task chunk,
+   range of hashes); texts of a chunk with equal sets travel once, and so does a shingle that many texts of a chunk share.  Classes of equal
+   sets whose leads meet too few shared shingles link with nothing and leave; a text that shares a passage only is among them.
+2. A second scan ships all shingles of the classes left, which a broadcast bitmap picks before anything leaves the JVM.  Shingles of one class
+   only are dropped, the others go back to their classes with their class counts.  All of an intersection lies in these *shared* shingles,
+   and a text's other shingles come first in the order of the prefix filter (rarest first), so a text whose other shingles fill its
+   prefix leaves too.
 3. Prefix filter in the global order (class count, hash): a linked pair shares a shingle among the first n - ceil(t n) + 1 of each.
 4. Texts with identical prefix and size form one group; group pairs are filtered by size and joined on prefix shingles, then expanded to
    members and verified on all shared shingles.  A bucket of a frequent shingle is not expanded into all pairs: its members are first
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -39,7 +42,9 @@ WIDTH, PERCENT = 5, 75
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 TOKENS_PER_MESSAGE = 1_500_000
-DOCS_PER_RANGE = 2500
+DOCS_PER_RANGE, SETS_PER_RANGE = 8000, 2500
+#: Per cent of a set that a lead holds beyond the plain prefix; bits of the broadcast bitmap (32 MB); the key of no class.
+LEAD, MAP_BITS, NOBODY = 10, 28, 0
 PIVOT_ROUNDS = 5
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -75,78 +80,107 @@ def set_key(x: np.ndarray) -> int:
         return 0
     y = V.mix(x + np.uint64(0x5851F42D4C957F2D))
     both = np.array([y.sum(dtype=np.uint64), np.bitwise_xor.reduce(y)]) + np.array([len(x), 1], np.uint64)
-    return int(V.mix(V.mix(both) * _STEP[0]).sum(dtype=np.uint64).astype(np.int64))
+    return int(V.mix(V.mix(both) * _STEP[0]).sum(dtype=np.uint64).astype(np.int64)) or 1
 
 
-def messages(df: DataFrame, ranges: int, width: int) -> DataFrame:
-    """One scan: a row (doc, n, key) for each text, and the packed shingles by hash range; ``range`` says where a row travels."""
+def lead_size(n: int, percent: int) -> int:
+    """How many of its smallest hashes a set of n sends: linked sets share ``lead_hits`` of them (a prefix filter in hash order, for more than
+    one common element)."""
+    return n - -(-percent * n // 100) + -(-LEAD * n // 100)
+
+
+def lead_hits(n: Column, percent: int) -> Column:
+    """A partner of a set of n has at least percent % of n elements, and both leads hold the LEAD % of the smaller set's first common ones."""
+    return F.ceil(F.lit(LEAD) * F.ceil(n * percent / F.lit(100.0)) / F.lit(100.0))
+
+
+def messages(df: DataFrame, ranges: int, width: int, percent: int | None = None) -> DataFrame:
+    """One scan of (doc, t): the packed shingles by hash range; ``range`` says where a row travels.
+
+    With ``percent`` a row (doc, n, key) for each text goes along, and only leads are sent: a shingle that several classes of one chunk share is
+    sent once, without an owner, and counted here (``hits`` for each class), so a frequent one costs a row for each chunk at most."""
+    lead = percent is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[int, np.ndarray]] = {}
+        kept: dict[int, np.ndarray] = {}
         waiting = 0
 
-        def flush() -> pa.RecordBatch | None:
+        def flush() -> Iterator[pa.RecordBatch]:
             if not kept:
-                return None
-            doc = np.array([v[0] for v in kept.values()], np.int64)
+                return
             keys = np.array(list(kept), np.int64)
-            order = np.argsort(doc, kind="stable")
-            size = np.array([len(v[1]) for v in kept.values()])
-            flat = np.concatenate([v[1] for v in kept.values()])
-            rank = np.empty(len(doc), np.int64)
-            rank[order] = np.arange(len(doc))
-            owner = np.repeat(rank, size)
-            to = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            flat = np.concatenate(list(kept.values()))
+            owner = np.repeat(np.arange(len(keys)), [len(v) for v in kept.values()])
+            if lead:
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                same = flat[1:] == flat[:-1]
+                shared = np.append(False, same) | np.append(same, False)
+                hits = np.bincount(owner[shared], minlength=len(keys))
+                own = np.flatnonzero(hits)
+                if len(own):
+                    yield rows(len(own), key=keys[own], hits=hits[own], range=own % ranges)
+                owner[shared] = len(keys)
+                keys = np.append(keys, NOBODY)
+                first = np.append(True, ~same)
+                flat, owner = flat[first], owner[first]
+            to = ((V.mix(flat) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             by = np.lexsort((owner, to))
             flat, owner, to = flat[by], owner[by], to[by]
             first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
             last = np.append(first[1:], len(to))
-            doc, keys = doc[order], keys[order]
-            cols: list[list] = [[], [], [], [], []]
+            packed: dict[str, list] = {"tokens": [], "owner": [], "keys": []}
             for a, b in zip(first.tolist(), last.tolist(), strict=True):
                 own, local = np.unique(owner[a:b], return_inverse=True)
-                for c, x in zip(cols, (int(to[a]), flat[a:b].tobytes(), np.diff(local, prepend=0).astype(np.uint16).tobytes() if len(own) < 65536 else local.astype(np.uint32).tobytes(), doc[own].tobytes(), keys[own].tobytes()), strict=True):
-                    c.append(x)
-            n = len(first)
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=NAMES)
+                packed["tokens"].append(flat[a:b].tobytes())
+                packed["owner"].append(np.diff(local, prepend=0).astype(np.uint16).tobytes() if len(own) < 65536 else local.astype(np.uint32).tobytes())
+                packed["keys"].append(keys[own].tobytes())
+            yield rows(len(first), range=to[first], **packed)
 
         for b in V.trimmed(batches):
             ids = b.column(0)
             for r0, r1, data, off in V.chunks(V.binary(b.column(1))):
                 sets = shingles(data, off, width)
-                keys = [set_key(x) for x in sets]
-                blank = pa.nulls(r1 - r0, pa.binary())
-                to = pa.array([k % ranges for k in keys], pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.slice(r0, r1 - r0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), to, blank, blank, blank, blank], names=NAMES)
-                for doc, key, x in zip(ids.slice(r0, r1 - r0).to_pylist(), keys, sets, strict=True):
-                    if not len(x) or doc is None:
-                        continue
-                    old = kept.get(key)
-                    if old is None:
-                        kept[key] = (doc, x)
-                        waiting += len(x)
-                    elif doc < old[0]:
-                        kept[key] = (doc, x)
+                of = [set_key(x) for x in sets]
+                if lead:
+                    yield rows(r1 - r0, doc=ids.slice(r0, r1 - r0), n=[len(x) for x in sets], key=of, range=[k % ranges for k in of])
+                for known, key, x in zip(ids.slice(r0, r1 - r0).is_valid().to_pylist(), of, sets, strict=True):
+                    if len(x) and known and key not in kept:
+                        kept[key] = x[: lead_size(len(x), percent)].copy() if lead else x
+                        waiting += len(kept[key])
                 if waiting > TOKENS_PER_MESSAGE:
-                    yield flush()
+                    yield from flush()
                     kept, waiting = {}, 0
                     V.trim()
-        rest = flush()
-        if rest is not None:
-            yield rest
+        yield from flush()
 
-    return df.mapInArrow(run, "doc long, n long, key long, range int, tokens binary, owner binary, docs binary, keys binary")
+    return df.mapInArrow(run, "doc long, n long, key long, hits long, range int, tokens binary, owner binary, keys binary")
 
 
-NAMES = ["doc", "n", "key", "range", "tokens", "owner", "docs", "keys"]
+MESSAGE = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("hits", pa.int64()), ("range", pa.int32()), ("tokens", pa.binary()), ("owner", pa.binary()), ("keys", pa.binary())])
 
 
-SHARED = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def rows(size: int, /, **columns: object) -> pa.RecordBatch:
+    """A batch of messages; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if f.name not in columns else c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in MESSAGE], schema=MESSAGE)
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, class key) of the messages of one range."""
+    tok, key = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for b in table.filter(pa.compute.is_valid(table["tokens"])).to_batches():
+        x = {f: b.column(f) for f in ("tokens", "owner", "keys")}
+        for k in range(b.num_rows):
+            t = np.frombuffer(x["tokens"][k].as_buffer(), np.uint64)
+            own = x["owner"][k].as_buffer()
+            local = np.cumsum(np.frombuffer(own, np.uint16), dtype=np.uint16) if len(own) == 2 * len(t) else np.frombuffer(own, np.uint32)
+            tok.append(t)
+            key.append(np.frombuffer(x["keys"][k].as_buffer(), np.int64)[local])
+    return np.concatenate(tok), np.concatenate(key)
 
 
 def shared_of(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From one range's (shingle, class key): (key, order key) of the shingles that two or more classes hold."""
+    """From one range's (shingle, class key): (key, order key) of the shingles that two or more classes hold (NOBODY stands for several)."""
     order = np.argsort(t, kind="stable")
     t = t[order]
     same = t[1:] == t[:-1]
@@ -164,7 +198,7 @@ def shared_of(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     size = np.diff(np.append(at, len(t)))
     count = np.repeat(size, size)
-    more = count > 1
+    more = (count > 1) & (c != NOBODY)
     t, c, count = t[more], c[more], count[more]
     level = np.minimum(np.floor(np.log2(np.maximum(count, 1))).astype(np.uint64), np.uint64(31))
     t = (level << np.uint64(58) | t >> np.uint64(6)).astype(np.int64)
@@ -172,30 +206,38 @@ def shared_of(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[order], t[order]
 
 
+def lead_rows(table: pa.Table) -> pa.Table:
+    """One hash range of the leads: its documents' rows and chunk counts as they are, and the shared shingles of each class (``shared``)."""
+    plain = table.filter(pa.compute.is_null(table["tokens"])).select(["doc", "n", "key", "hits"])
+    c, _ = shared_of(*unpacked(table))
+    key, shared = np.unique(c, return_counts=True)
+    V.trim()
+    none = pa.nulls(len(key), pa.int64())
+    plain = plain.append_column("shared", pa.chunked_array([pa.nulls(len(plain), pa.int64())]))
+    return pa.concat_tables([plain, pa.Table.from_arrays([none, none, pa.array(key), none, pa.array(shared, pa.int64())], names=plain.column_names)])
+
+
 def range_rows(table: pa.Table) -> pa.Table:
-    """One hash range: its documents' rows as they are, and (key, tokens) of the shared shingles."""
-    tok, key = [], []
-    docs = table.filter(pa.compute.is_null(table["tokens"]))
-    for b in table.filter(pa.compute.is_valid(table["tokens"])).to_batches():
-        x = {f: b.column(f) for f in ("tokens", "owner", "keys")}
-        for k in range(b.num_rows):
-            t = np.frombuffer(x["tokens"][k].as_buffer(), np.uint64)
-            own = x["owner"][k].as_buffer()
-            local = np.cumsum(np.frombuffer(own, np.uint16), dtype=np.uint16) if len(own) == 2 * len(t) else np.frombuffer(own, np.uint32)
-            tok.append(t)
-            key.append(np.frombuffer(x["keys"][k].as_buffer(), np.int64)[local])
-    out = [pa.Table.from_arrays([docs["doc"], docs["n"], docs["key"], pa.chunked_array([pa.nulls(len(docs), SHARED.field("tokens").type)])], schema=SHARED)]
-    if tok:
-        t, c = np.concatenate(tok), np.concatenate(key)
-        del tok, key
-        c, t = shared_of(t, c)
-        if len(c):
-            at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(c)), pa.int32()), pa.array(t))
-            none = pa.nulls(len(at), pa.int64())
-            out.append(pa.Table.from_arrays([none, none, pa.array(c[at]), lists], schema=SHARED))
-        V.trim()
-    return pa.concat_tables(out)
+    """One hash range: (key, tokens) of the shared shingles of each class."""
+    c, t = shared_of(*unpacked(table))
+    at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(c)), pa.int32()), pa.array(t))
+    V.trim()
+    return pa.Table.from_arrays([pa.array(c[at]), lists], names=["key", "tokens"])
+
+
+def among(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """The rows of ``docs`` whose ``doc`` is one of ``ids`` (and some others): by a broadcast bitmap of hashed ids, of 2**MAP_BITS bits at most, so
+    that no text is shuffled; by a join where the bitmap would be too full to tell."""
+    bits = max(20, (16 * count - 1).bit_length())
+    if bits > MAP_BITS + 2:
+        return docs.join(ids, "doc", "left_semi")
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << min(bits, MAP_BITS))) + 1
+    map_of = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
+    hit = placed.join(F.broadcast(map_of), "_bucket").withColumn("_byte", byte).where("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
+    return hit.select(*docs.columns)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,15 +257,15 @@ def may_link(percent: int, x: tuple[str, str], y: tuple[str, str]) -> F.Column:
     return F.expr(f"{100 + percent} * least({rx}, {ry}) >= {percent} * ({nx} + {ny})")
 
 
-def linked_components(sets: DataFrame, percent: int) -> DataFrame:
+def linked_components(sets: DataFrame, percent: int, tables: scratch.Tables) -> DataFrame:
     """(node, root) over documents (doc, n, u, tokens) that may link; u: shingles that no other class has."""
     fit = F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 - u as int)")
     cand = sets.withColumn("tokens", F.sort_array("tokens")).withColumn("prefix", F.slice("tokens", F.lit(1), fit))
-    cand = scratch.persist_table(cand, "candidates")
+    cand = tables.save(cand, "candidates")
     grouped = cand.groupBy("n", "u", F.xxhash64("prefix").alias("pkey"), "prefix").agg(F.min("doc").alias("group"))
     at = grouped.select("group", "n", F.expr("n - u").alias("s"), F.posexplode("prefix").alias("i", "token"))
-    groups = scratch.persist_table(at.select("group", "n", (F.col("s") - F.col("i")).alias("rest"), "token"), "group-tokens")
-    members = scratch.persist_table(cand.select("doc", "n", "u", F.xxhash64("prefix").alias("pkey")).join(grouped.select("group", "n", "u", "pkey"), ["n", "u", "pkey"]).select("doc", "group"), "members")
+    groups = tables.save(at.select("group", "n", (F.col("s") - F.col("i")).alias("rest"), "token"), "group-tokens")
+    members = tables.save(cand.select("doc", "n", "u", F.xxhash64("prefix").alias("pkey")).join(grouped.select("group", "n", "u", "pkey"), ["n", "u", "pkey"]).select("doc", "group"), "members")
 
     # inside a group: every member against the group's own document; between groups: every group of a bucket against a pivot of a size
     # that can link
@@ -233,9 +275,9 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
     first = groups.withColumn("band", F.explode(F.array(band, band - 1))).join(pivot, ["token", "band"]).where(F.col("group") != F.col("p.group"))
     first = first.where(may_link(percent, ("n", "rest"), ("p.n", "p.rest")))
     stars = first.select(F.least("group", "p.group").alias("a"), F.greatest("group", "p.group").alias("b"))
-    tried = scratch.persist_table(inside.union(stars).distinct(), "tried")
-    edges = scratch.persist_table(verify(tried, cand, percent), "links")
-    comp = connected_components(edges)
+    tried = tables.save(inside.union(stars).distinct(), "tried")
+    edges = tables.save(verify(tried, cand, percent), "links")
+    comp = connected_components(edges, tables)
     docs = members.join(groups, "group").select("token", "doc", "n", "rest")
 
     def crossing(docs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -243,7 +285,7 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
         now = docs.select("token", "doc", "n", "rest").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         parts = now.groupBy("token", "root").agg(F.count("*").alias("c"))
         main = parts.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
-        return scratch.persist_table(now.join(main.where("roots > 1").select("token", F.col("m.root").alias("main")), "token"), "cross")
+        return tables.save(now.join(main.where("roots > 1").select("token", F.col("m.root").alias("main")), "token"), "cross")
 
     for k in range(PIVOT_ROUNDS):
         # a further pivot of the largest component for the members outside it
@@ -251,21 +293,21 @@ def linked_components(sets: DataFrame, percent: int) -> DataFrame:
         pivot = docs.where("root = main").groupBy("token").agg(F.min_by(F.struct("doc", "n", "rest"), F.xxhash64("doc", F.lit(k))).alias("p"))
         pairs = docs.where("root <> main").join(pivot, "token").where(may_link(percent, ("n", "rest"), ("p.n", "p.rest")))
         pairs = pairs.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
-        new = scratch.persist_table(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        links = scratch.persist_table(verify(new, cand, percent), "links")
+        new = tables.save(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        links = tables.save(verify(new, cand, percent), "links")
         tried = tried.union(new)
         if not links.limit(1).count():
             break
         edges = edges.union(links)
-        comp = connected_components(edges)
+        comp = connected_components(edges, tables)
     # the rest: every pair of a bucket that crosses components, at most one side in the bucket's largest
     docs = crossing(docs, comp)
     minor = docs.where("root <> main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("restx"), F.col("root").alias("rx"))
     cross = minor.join(docs, "token").where(F.expr("rx <> root and (root = main or x < doc)") & may_link(percent, ("nx", "restx"), ("n", "rest")))
     cross = cross.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    more = scratch.persist_table(verify(cross.join(tried, ["a", "b"], "left_anti"), cand, percent), "links")
+    more = tables.save(verify(cross.join(tried, ["a", "b"], "left_anti"), cand, percent), "links")
     if more.limit(1).count():
-        comp = connected_components(edges.union(more))
+        comp = connected_components(edges.union(more), tables)
     return comp
 
 
@@ -273,16 +315,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_shingles, component_id) for each document; ids are integers."""
     spark = df.sparkSession
     picked = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
-    ranges = max(16, 2 * scratch.partitions(spark), picked.count() // DOCS_PER_RANGE)
-    sent = messages(picked, ranges, width).groupBy("range").applyInArrow(range_rows, "doc long, n long, key long, tokens array<long>")
-    scanned = scratch.persist_table(sent, "shingles")
-    docs = scanned.where("tokens is null").select("doc", "n", "key")
+    least = max(16, 2 * scratch.partitions(spark))
+    sent = messages(picked, max(least, picked.count() // DOCS_PER_RANGE), width, percent).groupBy("range")
+    scanned = scratch.persist_table(sent.applyInArrow(lead_rows, "doc long, n long, key long, hits long, shared long"), "leads")
+    docs = scanned.where("n is not null").select("doc", "n", "key")
     classes = docs.where("n > 0 and doc is not null").groupBy("n", "key").agg(F.min("doc").alias("rep"))
-    shared = scanned.where("tokens is not null").select("key", "tokens")
+    met = scanned.where("n is null").groupBy("key").agg((F.coalesce(F.sum("shared"), F.lit(0)) + F.coalesce(F.max("hits"), F.lit(0))).alias("met"))
+    tables = scratch.Tables()
+    kept = tables.save(classes.join(met, "key").where(F.col("met") >= lead_hits(F.col("n"), percent)).select("n", "key", "rep"), "survivors")
+    del sent
+    scratch.release(spark)
+    count = kept.count()
+    whole = messages(among(picked, kept.select(F.col("rep").alias("doc")), count), max(least, count // SETS_PER_RANGE), width).groupBy("range")
+    shared = tables.save(whole.applyInArrow(range_rows, "key long, tokens array<long>"), "shingles")
+    del whole
     joined = shared.groupBy("key").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
     fits = F.expr(f"u < n - ceil({percent} * n / 100.0) + 1")
-    sets = classes.join(joined, "key").withColumn("u", F.col("n") - F.size("tokens")).where(fits)
-    comp = linked_components(sets.select(F.col("rep").alias("doc"), "n", "u", "tokens"), percent)
+    sets = kept.join(joined, "key").withColumn("u", F.col("n") - F.size("tokens")).where(fits)
+    comp = linked_components(sets.select(F.col("rep").alias("doc"), "n", "u", "tokens"), percent, tables)
+    comp = scratch.persist_table(comp, "components")
+    tables.drop()
+    scratch.release(spark)
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "key", F.coalesce("root", "rep").alias("root"))
     full = docs.join(named, ["n", "key"], "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
     return full

@@ -8,6 +8,7 @@ is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -19,10 +20,12 @@ _own: dict[str, str] = {}
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, else the context's checkpoint folder; a temporary one, removed at exit, only where
-    neither is set (a single machine)."""
+    neither is set and the session is a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -48,6 +51,31 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Tables:
+    """Intermediate tables of one job, dropped together behind their last reader."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def own(self, df: DataFrame) -> DataFrame:
+        self.held.append(df)
+        return df
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        return self.own(persist_table(df, name))
+
+    def drop(self) -> None:
+        for df in self.held:
+            drop_table(df)
+        self.held.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
