@@ -42,7 +42,7 @@ WIDTH, PERCENT = 5, 75
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 TOKENS_PER_MESSAGE = 1_500_000
-DOCS_PER_RANGE, SETS_PER_RANGE = 8000, 2500
+DOCS_PER_RANGE, SETS_PER_RANGE, LEAST_RANGES = 8000, 5000, 16
 #: Per cent of a set that a lead holds beyond the plain prefix; bits of the broadcast bitmap (32 MB); the key of no class.
 LEAD, MAP_BITS, NOBODY = 10, 28, 0
 PIVOT_ROUNDS = 5
@@ -315,8 +315,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_shingles, component_id) for each document; ids are integers."""
     spark = df.sparkSession
     picked = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
-    least = max(16, 2 * scratch.partitions(spark))
-    sent = messages(picked, max(least, picked.count() // DOCS_PER_RANGE), width, percent).groupBy("range")
+    sent = messages(picked, max(LEAST_RANGES, picked.count() // DOCS_PER_RANGE), width, percent).groupBy("range")
     scanned = scratch.persist_table(sent.applyInArrow(lead_rows, "doc long, n long, key long, hits long, shared long"), "leads")
     docs = scanned.where("n is not null").select("doc", "n", "key")
     classes = docs.where("n > 0 and doc is not null").groupBy("n", "key").agg(F.min("doc").alias("rep"))
@@ -326,7 +325,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     del sent
     scratch.release(spark)
     count = kept.count()
-    whole = messages(among(picked, kept.select(F.col("rep").alias("doc")), count), max(least, count // SETS_PER_RANGE), width).groupBy("range")
+    whole = messages(among(picked, kept.select(F.col("rep").alias("doc")), count), max(LEAST_RANGES, count // SETS_PER_RANGE), width).groupBy("range")
     shared = tables.save(whole.applyInArrow(range_rows, "key long, tokens array<long>"), "shingles")
     del whole
     joined = shared.groupBy("key").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
