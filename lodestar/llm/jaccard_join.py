@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from . import textvec as V
+from .bitmap import marked
 from .components import connected_components
 
 WIDTH, PERCENT = 5, 75
@@ -43,8 +44,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 TOKENS_PER_MESSAGE = 1_500_000
 DOCS_PER_RANGE, SETS_PER_RANGE, LEAST_RANGES = 8000, 5000, 16
-#: Per cent of a set that a lead holds beyond the plain prefix; bits of the broadcast bitmap (32 MB); the key of no class.
-LEAD, MAP_BITS, NOBODY = 10, 28, 0
+#: Per cent of a set that a lead holds beyond the plain prefix; the key of no class.
+LEAD, NOBODY = 10, 0
 PIVOT_ROUNDS = 5
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -226,20 +227,6 @@ def range_rows(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c[at]), lists], names=["key", "tokens"])
 
 
-def among(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """The rows of ``docs`` whose ``doc`` is one of ``ids`` (and some others): by a broadcast bitmap of hashed ids, of 2**MAP_BITS bits at most, so
-    that no text is shuffled; by a join where the bitmap would be too full to tell."""
-    bits = max(20, (16 * count - 1).bit_length())
-    if bits > MAP_BITS + 2:
-        return docs.join(ids, "doc", "left_semi")
-    place = F.pmod(F.xxhash64("doc"), F.lit(1 << min(bits, MAP_BITS))) + 1
-    map_of = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
-    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    placed = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
-    hit = placed.join(F.broadcast(map_of), "_bucket").withColumn("_byte", byte).where("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
-    return hit.select(*docs.columns)
-
-
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those that link, by the sizes and shared shingles of both."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -325,7 +312,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     del sent
     scratch.release(spark)
     count = kept.count()
-    whole = messages(among(picked, kept.select(F.col("rep").alias("doc")), count), max(LEAST_RANGES, count // SETS_PER_RANGE), width).groupBy("range")
+    chosen = marked(picked, ["doc"], kept.select(F.col("rep").alias("doc")), count).where("_marked").drop("_marked")
+    whole = messages(chosen, max(LEAST_RANGES, count // SETS_PER_RANGE), width).groupBy("range")
     shared = tables.save(whole.applyInArrow(range_rows, "key long, tokens array<long>"), "shingles")
     del whole
     joined = shared.groupBy("key").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))

@@ -290,25 +290,28 @@ class SuffixSorter:
         yield np.array([len(t) - 1]), np.zeros(1, np.uint16)
 
 
-def equal_groups(blocks: Blocks, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, group numbers within the piece) of suffixes that share ``cap`` symbols with a neighbour; a group is never cut."""
-    open_pos: list[np.ndarray] = []
+def equal_groups(blocks: Blocks, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, group numbers within the piece, common prefix with the position before) of suffixes that share ``cap`` symbols with a
+    neighbour; a group is never cut."""
+    open_parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def closed() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        pos, lcp = (np.concatenate([x[k] for x in open_parts]) for k in (0, 1)) if open_parts else ((), ())
+        if len(pos) > 1:
+            yield pos, np.zeros(len(pos), np.int64), lcp
+
     for pos, lcp in blocks:
         start = np.flatnonzero(lcp < cap)
         if not len(start):
-            open_pos.append(pos)
+            open_parts.append((pos, lcp))
             continue
-        head, keep = pos[: start[0]], int(start[-1])
-        whole = np.concatenate([*open_pos, head]) if open_pos or len(head) else np.empty(0, np.int64)
-        if len(whole) > 1:
-            yield whole, np.zeros(len(whole), np.int64)
-        mid, same = pos[start[0] : keep], lcp[start[0] : keep] >= cap
+        a, keep = int(start[0]), int(start[-1])
+        open_parts.append((pos[:a], lcp[:a]))
+        yield from closed()
+        mid, values = pos[a:keep], lcp[a:keep]
+        same = values >= cap
         if same.any():
-            follows = np.append(same[1:], False)
-            chosen = same | follows
-            yield mid[chosen], (np.cumsum(~same) - 1)[chosen]
-        open_pos = [pos[keep:]]
-    if open_pos:
-        whole = np.concatenate(open_pos)
-        if len(whole) > 1:
-            yield whole, np.zeros(len(whole), np.int64)
+            chosen = same | np.append(same[1:], False)
+            yield mid[chosen], (np.cumsum(~same) - 1)[chosen], values[chosen]
+        open_parts = [(pos[keep:], lcp[keep:])]
+    yield from closed()

@@ -1,24 +1,28 @@
 """Operator 9, suffix-array deduplication: remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
-Texts are UTF-8 bytes; matches never cross documents; all occurrences go, judged on the input.
-
-1. Shards.  Every window of ``length`` bytes belongs to its minimizer, the k-gram of smallest hash in it (the rightmost on ties).  Equal
-   windows have equal minimizers, so windows are dealt out by the minimizer's hash and all occurrences of a string meet in one shard.
-   Windows next to each other mostly share their minimizer: one row describes such a run (anchor hash, document, first start, number, hash
-   of the run's bytes).  Runs whose anchor hash occurs once in the corpus leave at once.
+Texts are UTF-8 bytes; matches never cross documents; all occurrences go, judged on the input.  With ``words`` a second measure comes out of the
+same sort: the *passages* that another document holds too, strings of so many whole words (runs of bytes above 32), or of ``length`` bytes where the
+words have more.
+
+1. Shards.  Every window of ``near`` bytes (``length``; SAMPLE at most with ``words``) belongs to its minimizer, the k-gram of smallest hash in it
+   (the rightmost on ties).  Equal windows have equal minimizers, so windows are dealt out by the minimizer's hash and all occurrences of a
+   string meet in one shard.  Windows next to each other mostly share their minimizer: one row describes such a run (anchor hash, document,
+   first start, number, hash of the bytes).  Runs whose anchor hash occurs once in the corpus leave at once.
 2. Equal runs (copies) are counted before anything is moved: one representative with its count goes on.  Only these runs' bytes are cut
-   from the texts and sent to the shards, a few of the corpus's bytes.
+   from the texts and sent to the shards, a few of the corpus's bytes; a broadcast bitmap picks the texts concerned.
 3. Each shard sorts its suffixes by external induced sorting (see suffix_array) with common prefixes cut at ``length``; a group of suffixes
-   that share ``length`` bytes and stand for two or more occurrences is repeated.
+   that share ``length`` bytes and stand for two or more occurrences is repeated.  Passages are looked for in the groups that share ``near`` bytes
+   (equal ones by their 64-bit hash); those with fewer bytes than ``near`` are counted by hash alone.
 4. A shard of more than MOST_BYTES, such as that of a hot passage (one run per distinct surrounding at each of its edges), is not sorted: each
    of its windows becomes a row, and windows are counted by their exact hash (64 bits, within one anchor) over all tasks.
-5. Flagged starts go back to all occurrences of their run, and each document's spans are united and cut out.
+5. Spans go back to all occurrences of their run, and each document's spans are united and cut out; texts without any are not shuffled.
 
 A sorted shard is held in memory (some 50 bytes for each of its bytes; the queues spill to the task's own temporary folder, which no other
 task reads), which MOST_BYTES bounds.  Step 4 holds no group in memory, but moves a row for each window instead of a byte for each start.
 
 Defined cases: null texts are empty; texts shorter than ``length`` keep everything; repeated rows are occurrences of their own (so a repeated
-row of ``length`` bytes or more goes whole); empty tables give empty results; other columns of the input do not matter.
+row of ``length`` bytes or more loses all its text), but rows of one id are one document to the passages; null ids are kept; an empty table
+gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import suffix_array as sa
 from . import textvec as V
+from .bitmap import marked
 
-LENGTH, K = 400, 32
+LENGTH, K, WORDS, SAMPLE = 400, 32, 51, 240
 SHARD_BYTES = 3_000_000
 #: A shard with more bytes than this is counted by window instead of being sorted.
 MOST_BYTES = 12_000_000
@@ -44,16 +49,17 @@ SEGMENT = 32 << 20
 UNIT = V.unit_table(256, 77)
 
 
-def minimizer_runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, first start in its row, number of starts, anchor hash, hash of the run's bytes) of a chunk of texts."""
+def minimizer_runs(data: np.ndarray, off: np.ndarray, near: int, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(row, first start in its row, number of starts, anchor hash, hash of the run's bytes) of a chunk of texts; a run's bytes reach as far as
+    its strings of ``length``, or to the text's end."""
     n = len(data)
     none = np.empty(0, np.int64)
-    if n < length:
+    if n < near:
         return none, none, none, none, none
-    k = min(k, length)
+    k = min(k, near)
     h = V.prefix_hash(UNIT[data])
     g = V.rolling_hash(h, k)
-    m, w = len(g), length - k + 1
+    m, w = len(g), near - k + 1
     bits = np.uint64(max(1, int(m).bit_length()))
     key = (g >> bits) << bits | (np.uint64(m) - np.arange(m, dtype=np.uint64))
     low, span = key, 1
@@ -64,40 +70,48 @@ def minimizer_runs(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tu
         low = np.minimum(low[: m - w + 1], low[w - span : w - span + m - w + 1])
     at = m - (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = V.row_of(off, np.arange(len(at)))
-    inside = np.arange(len(at)) + length <= off[row + 1]
+    inside = np.arange(len(at)) + near <= off[row + 1]
     new = np.append(True, at[1:] != at[:-1])
     new[1:] |= row[1:] != row[:-1]
     starts = np.flatnonzero(new & inside)
     stops = np.append(np.flatnonzero(new), len(at))
     stop = stops[np.searchsorted(stops, starts, "right")]
-    limit = off[row[starts] + 1] - length + 1
+    limit = off[row[starts] + 1] - near + 1
     count = np.minimum(stop, limit) - starts
     anchor = g[at[starts]]
-    body = V.span_hash(h, starts, starts + count - 1 + length)
-    body = V.mix(body ^ V.mix((at[starts] - starts).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)))
+    end = np.minimum(starts + count - 1 + length, off[row[starts] + 1])
+    body = V.span_hash(h, starts, end)
+    body = V.mix(body ^ V.mix((at[starts] - starts).astype(np.uint64) << np.uint64(42) | (end - starts).astype(np.uint64) << np.uint64(21) | count.astype(np.uint64)))
     return row[starts], starts - off[row[starts]], count, anchor.view(np.int64), body.view(np.int64)
 
 
-def segments(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, offset of the first byte, bytes, offsets): texts above SEGMENT bytes are cut so that each window lies in one piece."""
+def segments(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(first row, offset of the first byte, number of starts, bytes, offsets): texts above SEGMENT bytes are cut so that each string of
+    ``length`` that begins at one of the starts lies in one piece."""
     if len(data) <= SEGMENT:
-        yield 0, 0, data, off
+        yield 0, 0, len(data), data, off
         return
     for r in range(len(off) - 1):
         text = data[off[r] : off[r + 1]]
-        for a in range(0, max(1, len(text) - length + 1), SEGMENT):
+        for a in range(0, max(1, len(text)), SEGMENT):
             part = text[a : a + SEGMENT + length - 1]
-            yield r, a, part, np.array([0, len(part)])
+            yield r, a, SEGMENT, part, np.array([0, len(part)])
 
 
-def run_rows(df: DataFrame, length: int, k: int) -> DataFrame:
+def run_rows(df: DataFrame, near: int, length: int, k: int) -> DataFrame:
     """(doc, tid, start, count, anchor, body) of every minimizer run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.trimmed(batches):
             for r0, _, data, off in V.chunks(V.binary(b.column(2))):
-                for row0, shift, part, cuts in segments(data, off, length):
-                    row, start, count, anchor, body = minimizer_runs(part, cuts, length, k)
+                for row0, shift, starts, part, cuts in segments(data, off, length):
+                    row, start, count, anchor, body = minimizer_runs(part, cuts, near, length, k)
+                    if starts < len(part):  # one text: what begins later is the next piece's
+                        keep = start < starts
+                        row, start, count, anchor, body = (x[keep] for x in (row, start, count, anchor, body))
+                        cut = start + count > starts
+                        count = np.where(cut, starts - start, count)
+                        body = np.where(cut, body ^ count, body)
                     if len(row):
                         at = pa.array(row + row0 + r0)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start + shift), pa.array(count), pa.array(anchor), pa.array(body)], names=["doc", "tid", "start", "count", "anchor", "body"])
@@ -105,10 +119,40 @@ def run_rows(df: DataFrame, length: int, k: int) -> DataFrame:
     return df.select("doc", "tid", "t").mapInArrow(run, "doc long, tid long, start long, count long, anchor long, body long")
 
 
-def shard_groups(table: pa.Table, length: int) -> pa.Table:
-    """One shard: (anchor, body, first, last) ranges of repeated starts of each run, by suffix sorting."""
-    schema = pa.schema([("anchor", pa.int64()), ("body", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-    weight = table["weight"].to_numpy()
+def passages_at(word: np.ndarray, base: np.ndarray, end: np.ndarray, count: np.ndarray, lead: np.ndarray, words: int, near: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, bytes) of the strings of ``words`` whole words, of ``near`` to ``length`` - 1 bytes, that begin at a start of a piece.
+
+    ``word`` marks the bytes of words; pieces lie at [base, end) and begin with a whole word where ``lead`` says so."""
+    first, last = V.runs(word, np.append(base, len(word)))
+    piece = np.searchsorted(base, first, "right") - 1
+    ok = (first > base[piece]) | lead[piece]
+    first, last, piece = first[ok], last[ok], piece[ok]
+    if len(first) < words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, stop = first[: len(first) - words + 1], last[words - 1 :]
+    own, size = piece[: len(at)], stop - at
+    ok = (own == piece[words - 1 :]) & (at - base[own] < count[own]) & (size >= near) & (size < length)
+    return at[ok], size[ok]
+
+
+FOUND = pa.schema([("anchor", pa.int64()), ("body", pa.int64()), ("kind", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
+
+
+def extremes(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row whether the rows of its key have different documents: the least of ``low`` is under the greatest of ``high``."""
+    if not len(key):
+        return np.empty(0, bool)
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    apart = np.minimum.reduceat(low[order], at) < np.maximum.reduceat(high[order], at)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(apart, np.diff(np.append(at, len(key))))
+    return out
+
+
+def shard_groups(table: pa.Table, near: int, length: int, words: int | None) -> pa.Table:
+    """One shard: byte ranges of each run that repeated strings (kind 0) and passages of other documents (kind 1) cover, by suffix sorting."""
+    weight, count, lead, low, high = (table[c].to_numpy() for c in ("weight", "count", "lead", "low", "high"))
     data, off = V.raw(V.binary(table["bytes"]))
     n = len(off) - 1
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
@@ -122,27 +166,69 @@ def shard_groups(table: pa.Table, length: int) -> pa.Table:
             lengths = np.diff(off[a : b + 1])
             t[V.ragged(base[a:b], lengths)] = data[off[a] : off[b]].astype(np.int16) + 2
         t[-1] = 0
-        flag = np.zeros(size, bool)
         end = off[1:] + np.arange(n)
-        for pos, group in sa.equal_groups(sa.SuffixSorter(t, folder, length).descending(), length):
+        whole = np.clip(end - base - length + 1, 0, count)  # starts of strings of ``length``
+        flag, other = np.zeros(size, bool), np.zeros(size, bool)
+        ws, wm = passages_at(t > 34, base, end, count, lead, words, near, length) if words else (np.empty(0, np.int64),) * 2
+        candidate = np.zeros(len(ws), bool)
+        for pos, group, lcp in sa.equal_groups(sa.SuffixSorter(t, folder, length).descending(), near):
+            if len(ws):
+                at = np.minimum(np.searchsorted(ws, pos), len(ws) - 1)
+                candidate[at[ws[at] == pos]] = True
             run = np.searchsorted(base, pos, "right") - 1
-            ok = pos + length <= end[run]
+            new = np.append(True, (group[1:] != group[:-1]) | (lcp[1:] < length))
+            group = np.cumsum(new)
+            ok = pos - base[run] < whole[run]
             pos, run, group = pos[ok], run[ok], group[ok]
             if len(pos):
-                often = np.bincount(group, weights=weight[run])[group] >= 2
-                flag[pos[often]] = True
+                flag[pos[np.bincount(group, weights=weight[run])[group] >= 2]] = True
+                other[pos[extremes(group, low[run], high[run])]] = True
         twice = weight >= 2  # alone in its group, but the run itself occurs more than once
-        flag[V.ragged(base[twice], np.diff(off)[twice] - length + 1)] = True
+        flag[V.ragged(base[twice], whole[twice])] = True
+        apart = low < high
+        other[V.ragged(base[apart], whole[apart])] = True
+        found = [spans_of(flag, base, end, length, 0)]
+        if words:
+            run = np.searchsorted(base, ws, "right") - 1
+            chosen = candidate | apart[run]
+            ws, wm, run = ws[chosen], wm[chosen], run[chosen]
+            if len(ws):
+                shared = extremes(V.span_hash(V.prefix_hash(UNIT[t]), ws, ws + wm), low[run], high[run])
+                ws, wm, run = ws[shared], wm[shared], run[shared]
+            found.append(spans_of(other, base, end, length, 1))
+            found.append((run, np.full(len(run), 1), ws - base[run], ws + wm - base[run]))
         del t
     V.trim()
-    first, stop = V.runs(flag[: off[-1] + n], np.append(base, off[-1] + n))
-    run = np.searchsorted(base, first, "right") - 1
+    run, kind, first, last = (np.concatenate([f[k] for f in found]) for k in range(4))
+    run, kind, first, last = united(run, kind, first, last)
     take = pa.array(run)
-    return pa.Table.from_arrays([table["anchor"].combine_chunks().take(take), table["body"].combine_chunks().take(take), pa.array(first - base[run]), pa.array(stop - 1 - base[run])], schema=schema)
+    return pa.Table.from_arrays([table["anchor"].combine_chunks().take(take), table["body"].combine_chunks().take(take), pa.array(kind, pa.int32()), pa.array(first), pa.array(last)], schema=FOUND)
+
+
+def spans_of(flag: np.ndarray, base: np.ndarray, end: np.ndarray, length: int, kind: int) -> tuple[np.ndarray, ...]:
+    """(piece, kind, first byte, last byte + 1) of the strings of ``length`` that begin at flagged positions."""
+    first, stop = V.runs(flag, np.append(base, len(flag)))
+    run = np.searchsorted(base, first, "right") - 1
+    return run, np.full(len(run), kind), first - base[run], stop - 1 + length - base[run]
+
+
+def united(run: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The spans of each (run, kind), overlapping ones as one."""
+    if not len(run):
+        return run, kind, first, last
+    order = np.lexsort((first, kind, run))
+    run, kind, first, last = run[order], kind[order], first[order], last[order]
+    own = np.cumsum(np.append(True, (run[1:] != run[:-1]) | (kind[1:] != kind[:-1])))
+    shift = own * (int(last.max()) + 1)
+    s, e = unite(first + shift, last + shift)
+    at = np.searchsorted(first + shift, s)
+    return run[at], kind[at], s - shift[at], e - shift[at]
 
 
 def unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal spans of the union of [first, last)."""
+    if not len(first):
+        return first, last
     order = np.argsort(first, kind="stable")
     first, last = first[order], np.maximum.accumulate(last[order])
     new = np.append(True, first[1:] > last[:-1])
@@ -151,52 +237,65 @@ def unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_texts(df: DataFrame, reps: DataFrame) -> DataFrame:
     """(t, cut): each text of which runs are wanted, with these runs."""
-    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "body", "weight", "start", "count", "shard")).alias("cut"))
-    wanted = wanted.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "cut")
-    return df.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t"))).select("t", "cut")
+    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "body", "weight", "start", "count", "shard", "low", "high")).alias("cut"))
+    wanted = scratch.persist_table(wanted.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "cut"), "cuts")
+    some = marked(df.select("doc", "tid", "t"), ["doc", "tid"], wanted.select(F.col("_d").alias("doc"), F.col("_t").alias("tid")), wanted.count()).where("_marked")
+    return some.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t"))).select("t", "cut")
 
 
-def cut_runs(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(sizes, bytes, the runs' columns) of at most ``limit`` runs at a time."""
+def cut_runs(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(sizes, whether a word can begin there, bytes, the runs' columns) of at most ``limit`` runs at a time."""
     for b in V.trimmed(batches):
         data, off = V.raw(V.binary(b.column(0)))
         cuts = b.column(1)
         flat = cuts.flatten()
-        cols = [np.asarray(flat.field(i)) for i in range(6)]
+        cols = [np.asarray(flat.field(i)) for i in range(8)]
         row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(cuts.offsets)))
         for a in range(0, len(row), limit):
-            part = [c[a : a + limit] for c in cols]
-            size = part[4] + length - 1
-            yield size, data[V.ragged(off[row[a : a + limit]] + part[3], size)], part
+            part, own = [c[a : a + limit] for c in cols], row[a : a + limit]
+            start = off[own] + part[3]
+            size = np.minimum(start + part[4] - 1 + length, off[own + 1]) - start
+            lead = (part[3] == 0) | (data[np.maximum(start - 1, 0)] <= 32)
+            yield size, lead, data[V.ragged(start, size)], part
 
 
-def window_groups(cut: DataFrame, length: int) -> DataFrame:
-    """(anchor, body, first, last) ranges of repeated starts of each run, as :func:`shard_groups`, by counting whole windows: no task needs
-    more than its own rows, however many runs an anchor has."""
+def window_groups(cut: DataFrame, near: int, length: int, words: int | None, tables: scratch.Tables) -> DataFrame:
+    """The same as :func:`shard_groups` by counting whole strings: no task needs more than its own rows, however many runs an anchor has."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, blob, (anchor, body, weight, _, count, _) in cut_runs(batches, length, 128):
+        for size, lead, blob, (anchor, body, weight, _, count, _, low, high) in cut_runs(batches, length, 128):
             base = np.cumsum(size) - size
-            at = V.ragged(base, count)
-            run = np.repeat(np.arange(len(count)), count)
-            h = V.span_hash(V.prefix_hash(UNIT[blob]), at, at + length).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[run]), pa.array(body[run]), pa.array(at - base[run]), pa.array(weight[run]), pa.array(h)], names=["anchor", "body", "first", "weight", "h"])
-
-    rows = cut.mapInArrow(windows, "anchor long, body long, first long, weight long, h long")
-    twice = scratch.persist_table(rows.groupBy("anchor", "h").agg(F.sum("weight").alias("n")).where("n >= 2").select("anchor", "h"), "windows")
-    starts = rows.join(twice, ["anchor", "h"], "left_semi").select("anchor", "body", "first")
-    place = F.row_number().over(Window.partitionBy("anchor", "body").orderBy("first"))
-    stretch = starts.withColumn("stretch", F.col("first") - place).groupBy("anchor", "body", "stretch")
-    return stretch.agg(F.min("first").alias("first"), F.max("first").alias("last")).drop("stretch")
-
-
-def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc, tid, first, last): byte ranges covered by repeated strings, for each document (``df``: doc, tid, t)."""
-    runs = scratch.persist_table(run_rows(df, length, k), "runs")
+            whole = np.clip(size - length + 1, 0, count)
+            at = V.ragged(base, whole)
+            run, kind, width = np.repeat(np.arange(len(count)), whole), np.zeros(len(at), np.int32), np.full(len(at), length)
+            if words:
+                ws, wm = passages_at(blob > 32, base, base + size, count, lead, words, near, length)
+                at, width = np.append(at, ws), np.append(width, wm)
+                run, kind = np.append(run, np.searchsorted(base, ws, "right") - 1), np.append(kind, np.full(len(ws), 1, np.int32))
+            h = V.span_hash(V.prefix_hash(UNIT[blob]), at, at + width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[run], body[run], kind, at - base[run], width, weight[run], low[run], high[run], h)], names=["anchor", "body", "kind", "first", "width", "weight", "low", "high", "h"])
+
+    rows = cut.mapInArrow(windows, "anchor long, body long, kind int, first long, width long, weight long, low long, high long, h long")
+    often = rows.groupBy("anchor", "kind", "h").agg(F.sum("weight").alias("n"), (F.min("low") < F.max("high")).alias("apart"))
+    often = tables.save(often.where("n >= 2 and (kind = 0 or apart)"), "windows")
+    starts = rows.join(often.select("anchor", "kind", "h", "apart"), ["anchor", "kind", "h"]).select("anchor", "body", F.explode(F.expr("if(kind = 0 and apart, array(0, 1), array(kind))")).alias("kind"), "first", "width")
+    place = F.row_number().over(Window.partitionBy("anchor", "body", "kind", "width").orderBy("first"))
+    stretch = starts.withColumn("stretch", F.col("first") - place).groupBy("anchor", "body", "kind", "width", "stretch")
+    return stretch.agg(F.min("first").alias("first"), (F.max("first") + F.col("width")).alias("last")).select("anchor", "body", "kind", "first", "last")
+
+
+def repeated_spans(df: DataFrame, length: int, k: int, words: int | None, tables: scratch.Tables) -> DataFrame:
+    """(doc, tid, kind, first, last): byte ranges covered by repeated strings (kind 0) and by passages of other documents (kind 1), for each
+    document (``df``: doc, tid, t)."""
+    near = min(length, SAMPLE) if words else length
+    runs = scratch.persist_table(run_rows(df, near, length, k), "runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    kept = runs.join(shared, "anchor", "left_semi")
-    reps = kept.groupBy("anchor", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "tid", "start", "count")).alias("r"))
-    reps = scratch.persist_table(reps.select("anchor", "body", "weight", "r.*"), "representatives")
+    kept = tables.save(runs.join(shared, "anchor", "left_semi"), "kept-runs")
+    scratch.drop_table(runs)
+    scratch.release(df.sparkSession)
+    who = F.coalesce("doc", "tid")
+    reps = kept.groupBy("anchor", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "tid", "start", "count")).alias("r"), F.min(who).alias("low"), F.max(who).alias("high"))
+    reps = tables.save(reps.select("anchor", "body", "weight", "r.*", "low", "high"), "representatives")
     volume = reps.agg(F.coalesce(F.sum(F.col("count") + (length - 1)), F.lit(0))).first()[0]
     shards = max(1, volume // SHARD_BYTES + 1)
     reps = reps.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -204,22 +303,24 @@ def repeated_starts(df: DataFrame, length: int, k: int) -> DataFrame:
     large = F.col("shard").isin([r.shard for r in sizes.where(F.col("size") > MOST_BYTES).collect()])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, blob, (anchor, body, weight, _, _, shard) in cut_runs(batches, length, 4096):
+        for size, lead, blob, (anchor, body, weight, _, count, shard, low, high) in cut_runs(batches, length, 4096):
             ends = np.append(0, np.cumsum(size)).astype(np.int64)
             col = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(blob)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(anchor), pa.array(body), pa.array(weight), col], names=["shard", "anchor", "body", "weight", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (shard, anchor, body, weight, count, lead, low, high)), col], names=["shard", "anchor", "body", "weight", "count", "lead", "low", "high", "bytes"])
 
-    sent = with_texts(df, reps.where(~large)).mapInArrow(pieces, "shard long, anchor long, body long, weight long, bytes binary")
-    found = sent.groupBy("shard").applyInArrow(lambda t: shard_groups(t, length), "anchor long, body long, first long, last long")
+    sent = with_texts(df, reps.where(~large)).mapInArrow(pieces, "shard long, anchor long, body long, weight long, count long, lead boolean, low long, high long, bytes binary")
+    found = sent.groupBy("shard").applyInArrow(lambda t: shard_groups(t, near, length, words), "anchor long, body long, kind int, first long, last long")
     if not reps.where(large).isEmpty():
-        found = found.unionByName(window_groups(with_texts(df, reps.where(large)), length))
-    found = scratch.persist_table(found, "repeated")
-    back = kept.join(found, ["anchor", "body"]).select("doc", "tid", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + length).alias("last"))
-    return back
+        found = found.unionByName(window_groups(tables.save(with_texts(df, reps.where(large)), "hot-texts"), near, length, words, tables))
+    found = tables.save(found, "repeated")
+    del sent
+    scratch.release(df.sparkSession)
+    back = kept.join(found, ["anchor", "body"]).select("doc", "tid", "kind", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    return back.unionByName(short_passages(df, words, near, tables)) if words else back
 
 
-def short_passages(df: DataFrame, words: int, length: int) -> DataFrame:
-    """(doc, tid, first, last): strings of ``words`` whole words in fewer than ``length`` bytes that occur twice (by their 64-bit hash)."""
+def short_passages(df: DataFrame, words: int, near: int, tables: scratch.Tables) -> DataFrame:
+    """(doc, tid, kind 1, first, last): strings of ``words`` whole words in fewer than ``near`` bytes that another document holds (by hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.trimmed(batches):
@@ -227,16 +328,17 @@ def short_passages(df: DataFrame, words: int, length: int) -> DataFrame:
                 first, last = V.runs(data > 32, off)
                 first, last = first[: max(0, len(first) - words + 1)], last[words - 1 :]
                 row = V.row_of(off, first)
-                at = np.flatnonzero((last <= off[row + 1]) & (last - first < length))
+                at = np.flatnonzero((last <= off[row + 1]) & (last - first < near))
                 if len(at):
                     h = V.span_hash(V.prefix_hash(UNIT[data]), first[at], last[at]).view(np.int64)
                     start = off[row[at]]
                     of = pa.array(row[at] + r0)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(first[at] - start), pa.array(last[at] - start), pa.array(h)], names=["doc", "tid", "first", "last", "h"])
 
-    found = scratch.persist_table(df.select("doc", "tid", "t").mapInArrow(run, "doc long, tid long, first long, last long, h long"), "short-passages")
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    return found.join(twice, "h", "left_semi").drop("h")
+    found = tables.save(df.select("doc", "tid", "t").mapInArrow(run, "doc long, tid long, first long, last long, h long"), "short-passages")
+    who = F.coalesce("doc", "tid")
+    shared = found.groupBy("h").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("h")
+    return found.join(shared, "h", "left_semi").select("doc", "tid", F.lit(1).alias("kind"), "first", "last")
 
 
 def docs_id(id_col: str) -> F.Column:
@@ -245,52 +347,64 @@ def docs_id(id_col: str) -> F.Column:
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, carry: list[str] | None = None, words: int | None = None) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; with ``carry`` also ``row``, a struct of these columns of the row, and
-    ``kept``, the remaining text (a character that a border cuts goes with the removed part).  ``words``: repeated strings of so many words
-    go too where they have fewer bytes than ``length``."""
-    keep_text = carry is not None
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; with ``words`` also ``n_passages``, ``n_passage_bytes`` (maximal runs of passages
+    that another document holds, and their bytes) and ``shares_passage``.
+
+    ``carry`` adds ``row``, a struct of these other columns, ``changed`` and ``kept``, the text without repeated strings and passages (a
+    character that a border cuts goes with the removed part; null texts stay null)."""
+    spark, keep_text = df.sparkSession, carry is not None
     text = F.col(text_col).cast("string")
-    docs = df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"))
-    full = docs.withColumn("row", F.lit(0)) if carry is None else df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"), F.struct(*carry).alias("row"))
-    back = repeated_starts(docs, length, k)
-    if words:
-        back = back.unionByName(short_passages(docs, words, length))
-    spans = back.groupBy("doc", "tid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = spans.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "spans")
-    both = full.join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "t", "spans", *(["row"] if keep_text else []))
+    held = [F.struct(*carry).alias("row")] if keep_text else []
+    docs = df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"), *held)
+    tables = scratch.Tables()
+    back = repeated_spans(docs.select("doc", "tid", "t"), length, k, words, tables)
+    spans = back.groupBy("doc", "tid").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans"))
+    spans = scratch.persist_table(spans.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "spans"), "spans")
+    tables.drop()
+    scratch.release(spark)
+    flagged = marked(docs, ["doc", "tid"], spans.select(F.col("_d").alias("doc"), F.col("_t").alias("tid")), spans.count())
+    picked = ["doc", "t", "spans", *(["row"] if keep_text else [])]
+    some = flagged.where("_marked").join(spans, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select(*picked)
+    rest = flagged.where("not _marked").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*picked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.trimmed(batches):
+            known = b.column(1).is_valid().to_pylist()
             data, off = V.raw(V.binary(b.column(1)))
             V.trim()
             spans = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)
             flat = spans.flatten()
-            first, last = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            kind, first, last = (np.asarray(flat.field(i)) for i in range(3))
             at = np.asarray(spans.offsets) - np.asarray(spans.offsets)[0]
-            removed, count, digest, kept = [], [], [], []
+            out: dict[str, list] = {c: [] for c in ("n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes", "changed", "kept")}
             for r in range(b.num_rows):
-                text = data[off[r] : off[r + 1]]
-                if at[r] < at[r + 1]:
-                    s, e = unite(first[at[r] : at[r + 1]], last[at[r] : at[r + 1]])
-                    n = int((e - s).sum())
-                    left = b"".join(text[x:y].tobytes() for x, y in zip(np.append(0, e).tolist(), np.append(s, len(text)).tolist(), strict=True))
-                else:
-                    s, n, left = (), 0, text.tobytes()
-                removed.append(n)
-                count.append(len(s))
-                digest.append(hashlib.sha256(left).hexdigest())
+                text, x = data[off[r] : off[r + 1]], slice(at[r], at[r + 1])
+                s, e = unite(first[x][kind[x] == 0], last[x][kind[x] == 0])
+                ps, pe = unite(first[x][kind[x] == 1], last[x][kind[x] == 1])
+                out["n_removed"].append(int((e - s).sum()))
+                out["n_spans"].append(len(s))
+                out["n_passages"].append(len(ps))
+                out["n_passage_bytes"].append(int((pe - ps).sum()))
                 if keep_text:
-                    kept.append(left.decode("utf-8", "ignore"))
-            cols = [b.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*cols, b.column(3), pa.array(kept, pa.string())] if keep_text else cols, names=[*names, "row", "kept"] if keep_text else names)
-
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    if keep_text:
-        schema += f", row {full.schema['row'].dataType.simpleString()}, kept string"
-    return both.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
+                    s, e = unite(first[x], last[x])
+                left = b"".join(text[y:z].tobytes() for y, z in zip(np.append(0, e).tolist(), np.append(s, len(text)).tolist(), strict=True)) if len(s) else text.tobytes()
+                if keep_text:
+                    out["changed"].append(len(s) > 0)
+                    out["kept"].append(left.decode("utf-8", "ignore") if known[r] else None)
+                else:
+                    out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+            cols = {"doc": b.column(0), "n_bytes": pa.array(np.diff(off)), "row": b.column(3) if keep_text else None}
+            types = {"kept_sha256": pa.string(), "changed": pa.bool_(), "kept": pa.string()}
+            yield pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.array(out[c], types.get(c, pa.int64())) for c in names], names=names)
+
+    names = ["doc", "n_bytes", "n_removed", "n_spans", *(["changed", "row", "kept"] if keep_text else ["kept_sha256"]), *(["n_passages", "n_passage_bytes"] if words else [])]
+    types = {"doc": "long", "kept_sha256": "string", "changed": "boolean", "kept": "string", "row": docs.schema["row"].dataType.simpleString() if keep_text else ""}
+    done = some.unionByName(rest).mapInArrow(run, ", ".join(f"{c} {types.get(c, 'long')}" for c in names))
+    if words:
+        done = done.withColumn("shares_passage", F.col("n_passages") > 0)
+    return done.withColumnRenamed("doc", id_col)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated 400-byte strings of ``documents``."""
-    return suffix_dedup(scratch.load(spark, sf_dir, "documents"))
+    """Repeated 400-byte strings of ``documents``, and its passages of over 50 words that several documents hold."""
+    return suffix_dedup(scratch.load(spark, sf_dir, "documents"), words=WORDS)

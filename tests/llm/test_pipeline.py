@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+from lodestar.llm import suffix_dedup
 
 from . import brute
 
@@ -67,7 +68,7 @@ def test_repeated_passages_of_short_words(spark, tmp_path):
     rng = random.Random(6)
     short = lambda n: " ".join("".join(rng.choice("bcdfgl") for _ in range(rng.choice((2, 3)))) for _ in range(n))
     over, under = short(51), short(50)
-    assert len(over) < cp.REPEATED_BYTES
+    assert len(over) < suffix_dedup.SAMPLE
     texts = [f"{short(9)} é {over} {short(5)}", f"{over}\n{short(7)}", f"{short(4)} {under} {short(6)}", f"{short(8)} {under} {short(3)}", "", None, short(51)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema)
