@@ -15,8 +15,6 @@ from lodestar.llm import decontaminate, jaccard_join, language_id, packing, scra
 
 #: No SQL can express language models, external suffix sorting or packing: the stages are tested against plain versions.
 ORACLE_SQL = None
-#: Most repeated passages of over 50 words have at least so many bytes; those that have fewer are found by their words.
-REPEATED_BYTES, REPEATED_WORDS = 240, 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -42,12 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of REPEATED_BYTES, or of REPEATED_WORDS in fewer bytes, that occur twice are cut out; a document of which nothing is left goes."""
-    cut = suffix_dedup.suffix_dedup(docs, length=REPEATED_BYTES, carry=list(COLUMNS), words=REPEATED_WORDS).where("n_bytes = 0 or n_removed < n_bytes")
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("row.text"))
-    n_chars = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
-    return _columns(cut.select("row.*", text.alias("_text"), n_chars.alias("_n")).drop("text", "n_chars").withColumnsRenamed({"_text": "text", "_n": "n_chars"}))
+    """Strings of 400 bytes that occur twice, and passages of over 50 words that another document holds, are cut out; a document of which
+    nothing is left goes."""
+    others = [c for c in COLUMNS if c != "text"]
+    cut = suffix_dedup.suffix_dedup(docs, carry=others, words=suffix_dedup.WORDS).where("not changed or kept <> ''")
+    n_chars = F.when(F.col("changed"), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return cut.select("row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source", n_chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
