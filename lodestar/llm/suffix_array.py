@@ -96,10 +96,16 @@ class BucketQueue:
             os.remove(path)
 
 
-def refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Split groups of equal rank by ``key``; rank is the number of smaller items, and whole groups are active.  Returns the members of
-    groups that are still shared."""
-    order = np.lexsort((key, rank[active]))
+def refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray, top: int | None = None) -> np.ndarray:
+    """Split groups of equal rank by ``key`` (from -1 to ``top`` - 1, where that is known); rank is the number of smaller items, and whole groups
+    are active.  Returns the members of groups that are still shared."""
+    own = rank[active]
+    if top is not None:
+        order = np.argsort(own * np.int64(top + 1) + (key + 1))
+    elif own.min() == own.max():
+        order = np.argsort(key)
+    else:
+        order = np.lexsort((key, own))
     who, k = active[order], key[order]
     r = rank[who]
     start = np.append(True, r[1:] != r[:-1])
@@ -175,7 +181,7 @@ class SuffixSorter:
             while len(shared) and k <= self.cap:
                 nxt = shared + k
                 key = np.where(nxt < m, rank[np.minimum(nxt, m - 1)], -1)
-                shared = refine(rank, shared, key)
+                shared = refine(rank, shared, key, m)
                 k *= 2
         return self.lms[np.argsort(rank, kind="stable")]
 
@@ -190,12 +196,16 @@ class SuffixSorter:
         for x in range(1, len(order), BLOCK):
             a, b = order[x - 1 : x - 1 + BLOCK][: len(order) - x], order[x : x + BLOCK]
             ha, hb, pa, pb = h[a], h[b], power[a], power[b]
-            lo, hi = np.zeros(len(b), np.int64), np.minimum(self.cap, n - np.maximum(a, b))
+            value = np.minimum(self.cap, n - np.maximum(a, b))
+            rest = np.flatnonzero((h[a + value] - ha) * pb != (h[b + value] - hb) * pa)  # the others share all there is
+            a, b, ha, hb, pa, pb = (v[rest] for v in (a, b, ha, hb, pa, pb))
+            lo, hi = np.zeros(len(rest), np.int64), value[rest] - 1
             while (lo < hi).any():
                 mid = (lo + hi + 1) // 2
                 same = (h[a + mid] - ha) * pb == (h[b + mid] - hb) * pa
                 lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-            out[x : x + BLOCK] = lo
+            value[rest] = lo
+            out[x : x + BLOCK] = value
         del h, power
         return out
 

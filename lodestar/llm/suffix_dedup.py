@@ -12,7 +12,8 @@ words have more.
    from the texts and sent to the shards, a few of the corpus's bytes; a broadcast bitmap picks the texts concerned.
 3. Each shard sorts its suffixes by external induced sorting (see suffix_array) with common prefixes cut at ``length``; a group of suffixes
    that share ``length`` bytes and stand for two or more occurrences is repeated.  Passages are looked for in the groups that share ``near`` bytes
-   (equal ones by their 64-bit hash); those with fewer bytes than ``near`` are counted by hash alone.
+   (equal ones by their 64-bit hash).  Runs of an anchor that has equal runs only are repeated as a whole and need no sort.
+   Passages with fewer bytes than ``near`` go through all steps once more, cut out as texts of their own with a smaller ``near``.
 4. A shard of more than MOST_BYTES, such as that of a hot passage (one run per distinct surrounding at each of its edges), is not sorted: each
    of its windows becomes a row, and windows are counted by their exact hash (64 bits, within one anchor) over all tasks.
 5. Spans go back to all occurrences of their run, and each document's spans are united and cut out; texts without any are not shuffled.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,8 +152,31 @@ def extremes(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_groups(table: pa.Table, near: int, length: int, words: int | None) -> pa.Table:
-    """One shard: byte ranges of each run that repeated strings (kind 0) and passages of other documents (kind 1) cover, by suffix sorting."""
+def shard_rows(table: pa.Table, *how: int | bool | None) -> pa.Table:
+    """One shard: spans that are known already as they are, and those of the pieces to be sorted."""
+    known = table.filter(pa.compute.is_null(table["bytes"])).select(FOUND.names)
+    pieces = table.filter(pa.compute.is_valid(table["bytes"]))
+    return pa.concat_tables([known.cast(FOUND), shard_groups(pieces, *how)]) if len(pieces) else known.cast(FOUND)
+
+
+def whole_runs(size: np.ndarray, lead: np.ndarray, blob: np.ndarray, part: dict[str, np.ndarray], near: int, length: int, words: int | None, strings: bool) -> tuple[np.ndarray, ...]:
+    """(run, kind, first, last) of runs that are repeated as a whole."""
+    base = np.cumsum(size) - size
+    whole = np.clip(size - length + 1, 0, part["count"]) * strings
+    apart = part["low"] < part["high"]
+    some, other = np.flatnonzero(whole), np.flatnonzero((whole > 0) & apart)
+    found = [(some, np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), whole[some] - 1 + length)]
+    if words:
+        ws, wm = passages_at(blob > 32, base, base + size, part["count"], lead, words, near, length)
+        run = np.searchsorted(base, ws, "right") - 1
+        ws, wm, run = ws[apart[run]], wm[apart[run]], run[apart[run]]
+        found.append((other, np.full(len(other), 1), np.zeros(len(other), np.int64), whole[other] - 1 + length))
+        found.append((run, np.full(len(run), 1), ws - base[run], ws + wm - base[run]))
+    return united(*(np.concatenate([f[k] for f in found]) for k in range(4)))
+
+
+def shard_groups(table: pa.Table, near: int, length: int, words: int | None, strings: bool) -> pa.Table:
+    """The pieces of one shard: byte ranges of each run that repeated strings (kind 0) and passages of other documents (kind 1) cover, by suffix sorting."""
     weight, count, lead, low, high = (table[c].to_numpy() for c in ("weight", "count", "lead", "low", "high"))
     data, off = V.raw(V.binary(table["bytes"]))
     n = len(off) - 1
@@ -167,7 +192,7 @@ def shard_groups(table: pa.Table, near: int, length: int, words: int | None) ->
             t[V.ragged(base[a:b], lengths)] = data[off[a] : off[b]].astype(np.int16) + 2
         t[-1] = 0
         end = off[1:] + np.arange(n)
-        whole = np.clip(end - base - length + 1, 0, count)  # starts of strings of ``length``
+        whole = np.clip(end - base - length + 1, 0, count) * strings  # starts of strings of ``length``
         flag, other = np.zeros(size, bool), np.zeros(size, bool)
         ws, wm = passages_at(t > 34, base, end, count, lead, words, near, length) if words else (np.empty(0, np.int64),) * 2
         candidate = np.zeros(len(ws), bool)
@@ -235,47 +260,51 @@ def unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], last[np.append(np.flatnonzero(new)[1:], len(first)) - 1]
 
 
+CUT = ("anchor", "body", "weight", "start", "count", "shard", "low", "high", "mixed")
+
+
 def with_texts(df: DataFrame, reps: DataFrame) -> DataFrame:
     """(t, cut): each text of which runs are wanted, with these runs."""
-    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "body", "weight", "start", "count", "shard", "low", "high")).alias("cut"))
+    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct(*CUT)).alias("cut"))
     wanted = scratch.persist_table(wanted.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "cut"), "cuts")
     some = marked(df.select("doc", "tid", "t"), ["doc", "tid"], wanted.select(F.col("_d").alias("doc"), F.col("_t").alias("tid")), wanted.count()).where("_marked")
     return some.join(wanted, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tid") == F.col("_t"))).select("t", "cut")
 
 
-def cut_runs(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+def cut_runs(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
     """(sizes, whether a word can begin there, bytes, the runs' columns) of at most ``limit`` runs at a time."""
     for b in V.trimmed(batches):
         data, off = V.raw(V.binary(b.column(0)))
         cuts = b.column(1)
         flat = cuts.flatten()
-        cols = [np.asarray(flat.field(i)) for i in range(8)]
+        cols = {c: flat.field(i).to_numpy(zero_copy_only=False) for i, c in enumerate(CUT)}
         row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(cuts.offsets)))
         for a in range(0, len(row), limit):
-            part, own = [c[a : a + limit] for c in cols], row[a : a + limit]
-            start = off[own] + part[3]
-            size = np.minimum(start + part[4] - 1 + length, off[own + 1]) - start
-            lead = (part[3] == 0) | (data[np.maximum(start - 1, 0)] <= 32)
+            part, own = {c: v[a : a + limit] for c, v in cols.items()}, row[a : a + limit]
+            start = off[own] + part["start"]
+            size = np.minimum(start + part["count"] - 1 + length, off[own + 1]) - start
+            lead = (part["start"] == 0) | (data[np.maximum(start - 1, 0)] <= 32)
             yield size, lead, data[V.ragged(start, size)], part
 
 
-def window_groups(cut: DataFrame, near: int, length: int, words: int | None, tables: scratch.Tables) -> DataFrame:
+def window_groups(cut: DataFrame, near: int, length: int, words: int | None, strings: bool, tables: scratch.Tables) -> DataFrame:
     """The same as :func:`shard_groups` by counting whole strings: no task needs more than its own rows, however many runs an anchor has."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, lead, blob, (anchor, body, weight, _, count, _, low, high) in cut_runs(batches, length, 128):
+        for size, lead, blob, part in cut_runs(batches, length, 128):
             base = np.cumsum(size) - size
-            whole = np.clip(size - length + 1, 0, count)
+            whole = np.clip(size - length + 1, 0, part["count"]) * strings
             at = V.ragged(base, whole)
-            run, kind, width = np.repeat(np.arange(len(count)), whole), np.zeros(len(at), np.int32), np.full(len(at), length)
+            run, kind, width = np.repeat(np.arange(len(size)), whole), np.zeros(len(at), np.int32), np.full(len(at), length)
             if words:
-                ws, wm = passages_at(blob > 32, base, base + size, count, lead, words, near, length)
+                ws, wm = passages_at(blob > 32, base, base + size, part["count"], lead, words, near, length)
                 at, width = np.append(at, ws), np.append(width, wm)
                 run, kind = np.append(run, np.searchsorted(base, ws, "right") - 1), np.append(kind, np.full(len(ws), 1, np.int32))
             h = V.span_hash(V.prefix_hash(UNIT[blob]), at, at + width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[run], body[run], kind, at - base[run], width, weight[run], low[run], high[run], h)], names=["anchor", "body", "kind", "first", "width", "weight", "low", "high", "h"])
+            own = {c: part[c][run] for c in ("anchor", "body", "weight", "low", "high")} | {"kind": kind, "first": at - base[run], "width": width, "h": h}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in own.items()})
 
-    rows = cut.mapInArrow(windows, "anchor long, body long, kind int, first long, width long, weight long, low long, high long, h long")
+    rows = cut.mapInArrow(windows, "anchor long, body long, weight long, low long, high long, kind int, first long, width long, h long")
     often = rows.groupBy("anchor", "kind", "h").agg(F.sum("weight").alias("n"), (F.min("low") < F.max("high")).alias("apart"))
     often = tables.save(often.where("n >= 2 and (kind = 0 or apart)"), "windows")
     starts = rows.join(often.select("anchor", "kind", "h", "apart"), ["anchor", "kind", "h"]).select("anchor", "body", F.explode(F.expr("if(kind = 0 and apart, array(0, 1), array(kind))")).alias("kind"), "first", "width")
@@ -284,43 +313,59 @@ def window_groups(cut: DataFrame, near: int, length: int, words: int | None, tab
     return stretch.agg(F.min("first").alias("first"), (F.max("first") + F.col("width")).alias("last")).select("anchor", "body", "kind", "first", "last")
 
 
-def repeated_spans(df: DataFrame, length: int, k: int, words: int | None, tables: scratch.Tables) -> DataFrame:
+def repeated_spans(df: DataFrame, near: int, length: int, k: int, words: int | None, tables: scratch.Tables, strings: bool = True) -> DataFrame:
     """(doc, tid, kind, first, last): byte ranges covered by repeated strings (kind 0) and by passages of other documents (kind 1), for each
-    document (``df``: doc, tid, t)."""
-    near = min(length, SAMPLE) if words else length
+    document (``df``: doc, tid, t); without ``strings`` passages of fewer than ``length`` bytes only."""
     runs = scratch.persist_table(run_rows(df, near, length, k), "runs")
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    kept = tables.save(runs.join(shared, "anchor", "left_semi"), "kept-runs")
+    shared = runs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("body") != F.max("body")).alias("mixed")).where("c > 1").select("anchor", "mixed")
+    shared = tables.save(shared, "anchors")  # a table, so that the join below can be split where an anchor is hot
+    kept = tables.save(runs.join(shared, "anchor"), "kept-runs")
     scratch.drop_table(runs)
     scratch.release(df.sparkSession)
     who = F.coalesce("doc", "tid")
-    reps = kept.groupBy("anchor", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "tid", "start", "count")).alias("r"), F.min(who).alias("low"), F.max(who).alias("high"))
-    reps = tables.save(reps.select("anchor", "body", "weight", "r.*", "low", "high"), "representatives")
-    volume = reps.agg(F.coalesce(F.sum(F.col("count") + (length - 1)), F.lit(0))).first()[0]
-    shards = max(1, volume // SHARD_BYTES + 1)
-    reps = reps.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sizes = reps.groupBy("shard").agg(F.sum(F.col("count") + (length - 1)).alias("size"))
-    large = F.col("shard").isin([r.shard for r in sizes.where(F.col("size") > MOST_BYTES).collect()])
+    reps = kept.groupBy("anchor", "body", "mixed").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "tid", "start", "count")).alias("r"), F.min(who).alias("low"), F.max(who).alias("high"))
+    reps = tables.save(reps.select("anchor", "body", "mixed", "weight", "r.*", "low", "high"), "representatives")
+    size = F.sum(F.col("count") + (length - 1))
+    volume = reps.where("mixed").agg(F.coalesce(size, F.lit(0))).first()[0]
+    reps = reps.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, volume // SHARD_BYTES + 1))))
+    sizes = reps.where("mixed").groupBy("shard").agg(size.alias("size"))
+    large = F.col("mixed") & F.col("shard").isin([r.shard for r in sizes.where(F.col("size") > MOST_BYTES).collect()])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, lead, blob, (anchor, body, weight, _, count, shard, low, high) in cut_runs(batches, length, 4096):
+        for size, lead, blob, part in cut_runs(batches, length, 4096):
             ends = np.append(0, np.cumsum(size)).astype(np.int64)
             col = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(blob)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (shard, anchor, body, weight, count, lead, low, high)), col], names=["shard", "anchor", "body", "weight", "count", "lead", "low", "high", "bytes"])
-
-    sent = with_texts(df, reps.where(~large)).mapInArrow(pieces, "shard long, anchor long, body long, weight long, count long, lead boolean, low long, high long, bytes binary")
-    found = sent.groupBy("shard").applyInArrow(lambda t: shard_groups(t, near, length, words), "anchor long, body long, kind int, first long, last long")
+            mixed = np.flatnonzero(part["mixed"])
+            yield piece_rows({c: part[c][mixed] for c in ("shard", "anchor", "body", "weight", "count", "low", "high")} | {"lead": lead[mixed], "bytes": col.take(pa.array(mixed))})
+            sure = np.flatnonzero(~part["mixed"])
+            if len(sure):
+                own = {c: v[sure] for c, v in part.items()}
+                blob = blob[V.ragged(ends[sure], size[sure])]
+                run, kind, first, last = whole_runs(size[sure], lead[sure], blob, own, near, length, words, strings)
+                yield piece_rows({c: own[c][run] for c in ("shard", "anchor", "body")} | {"kind": kind, "first": first, "last": last})
+
+    sent = with_texts(df, reps.where(~large)).mapInArrow(pieces, ", ".join(f"{f.name} {PIECE_TYPES.get(f.name, 'long')}" for f in PIECES))
+    found = sent.groupBy("shard").applyInArrow(lambda t: shard_rows(t, near, length, words, strings), "anchor long, body long, kind int, first long, last long")
     if not reps.where(large).isEmpty():
-        found = found.unionByName(window_groups(tables.save(with_texts(df, reps.where(large)), "hot-texts"), near, length, words, tables))
+        found = found.unionByName(window_groups(tables.save(with_texts(df, reps.where(large)), "hot-texts"), near, length, words, strings, tables))
     found = tables.save(found, "repeated")
     del sent
     scratch.release(df.sparkSession)
-    back = kept.join(found, ["anchor", "body"]).select("doc", "tid", "kind", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
-    return back.unionByName(short_passages(df, words, near, tables)) if words else back
+    return kept.join(found, ["anchor", "body"]).select("doc", "tid", "kind", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
 
-def short_passages(df: DataFrame, words: int, near: int, tables: scratch.Tables) -> DataFrame:
-    """(doc, tid, kind 1, first, last): strings of ``words`` whole words in fewer than ``near`` bytes that another document holds (by hash)."""
+PIECE_TYPES = {"lead": "boolean", "bytes": "binary", "kind": "int"}
+PIECES = pa.schema([(c, {"lead": pa.bool_(), "bytes": pa.binary(), "kind": pa.int32()}.get(c, pa.int64())) for c in ("shard", "anchor", "body", "weight", "count", "lead", "low", "high", "bytes", "kind", "first", "last")])
+
+
+def piece_rows(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    """A batch for a shard; columns that are not given are null."""
+    n = len(columns["anchor"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in PIECES], schema=PIECES)
+
+
+def dense_stretches(df: DataFrame, words: int, near: int) -> DataFrame:
+    """(doc, tid, shift, t): the stretches of each text in which ``words`` words have fewer than ``near`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.trimmed(batches):
@@ -330,15 +375,23 @@ def short_passages(df: DataFrame, words: int, near: int, tables: scratch.Tables)
                 row = V.row_of(off, first)
                 at = np.flatnonzero((last <= off[row + 1]) & (last - first < near))
                 if len(at):
-                    h = V.span_hash(V.prefix_hash(UNIT[data]), first[at], last[at]).view(np.int64)
-                    start = off[row[at]]
-                    of = pa.array(row[at] + r0)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(first[at] - start), pa.array(last[at] - start), pa.array(h)], names=["doc", "tid", "first", "last", "h"])
+                    own, _, s, e = united(row[at], np.zeros(len(at), np.int64), first[at] - off[row[at]], last[at] - off[row[at]])
+                    text = pa.array([data[off[r] + x : off[r] + y].tobytes() for r, x, y in zip(own.tolist(), s.tolist(), e.tolist(), strict=True)], pa.binary())
+                    of = pa.array(own + r0)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(s), text.cast(pa.string())], names=["doc", "tid", "shift", "t"])
 
-    found = tables.save(df.select("doc", "tid", "t").mapInArrow(run, "doc long, tid long, first long, last long, h long"), "short-passages")
-    who = F.coalesce("doc", "tid")
-    shared = found.groupBy("h").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("h")
-    return found.join(shared, "h", "left_semi").select("doc", "tid", F.lit(1).alias("kind"), "first", "last")
+    return df.select("doc", "tid", "t").mapInArrow(run, "doc long, tid long, shift long, t string")
+
+
+def short_passages(df: DataFrame, words: int, near: int, k: int, tables: scratch.Tables) -> DataFrame:
+    """(doc, tid, kind 1, first, last): passages in fewer than ``near`` bytes, from the stretches that hold any."""
+    dense = tables.save(dense_stretches(df, words, near).select(F.coalesce("doc", "tid").alias("who"), F.xxhash64("doc", "tid", "shift").alias("piece"), "*"), "stretches")
+    if dense.isEmpty():
+        return dense.select("doc", "tid", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
+    spans = repeated_spans(dense.select(F.col("who").alias("doc"), F.col("piece").alias("tid"), "t"), min(near, 2 * words - 1), near, k, words, tables, strings=False)
+    spans = spans.where("kind = 1").select(F.col("doc").alias("who"), F.col("tid").alias("piece"), F.col("first").alias("f"), F.col("last").alias("l"))
+    place = dense.select("who", "piece", "doc", "tid", "shift").distinct()
+    return place.join(spans, ["who", "piece"]).select("doc", "tid", F.lit(1).alias("kind"), (F.col("f") + F.col("shift")).alias("first"), (F.col("l") + F.col("shift")).alias("last"))
 
 
 def docs_id(id_col: str) -> F.Column:
@@ -357,7 +410,11 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = [F.struct(*carry).alias("row")] if keep_text else []
     docs = df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"), *held)
     tables = scratch.Tables()
-    back = repeated_spans(docs.select("doc", "tid", "t"), length, k, words, tables)
+    texts = docs.select("doc", "tid", "t")
+    near = min(length, SAMPLE) if words else length
+    back = repeated_spans(texts, near, length, k, words, tables)
+    if words:
+        back = back.unionByName(short_passages(texts, words, near, k, tables))
     spans = back.groupBy("doc", "tid").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans"))
     spans = scratch.persist_table(spans.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "spans"), "spans")
     tables.drop()

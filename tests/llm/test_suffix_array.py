@@ -49,5 +49,5 @@ def test_doubling_and_recursion(tmp_path, monkeypatch):
 
 def test_groups():
     blocks = [(np.array([5, 6, 7]), np.array([0, 9, 9], np.uint16)), (np.array([8, 9, 1]), np.array([9, 0, 3], np.uint16)), (np.array([2, 3]), np.array([9, 0], np.uint16))]
-    got = [(p.tolist(), g.tolist()) for p, g in sa.equal_groups(iter(blocks), 9)]
+    got = [(p.tolist(), g.tolist()) for p, g, _ in sa.equal_groups(iter(blocks), 9)]
     assert got == [([5, 6, 7, 8], [0, 0, 0, 0]), ([1, 2], [0, 0])]
