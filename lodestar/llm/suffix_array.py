@@ -178,7 +178,7 @@ class SuffixSorter:
                 order = np.concatenate([p for p, _ in inner.descending()])[::-1]
                 return self.lms[order]
             k = 1
-            while len(shared) and k <= self.cap:
+            while len(shared) and k <= self.cap // 2:  # a name stands for two symbols at least, so 2 k names reach beyond the cap
                 nxt = shared + k
                 key = np.where(nxt < m, rank[np.minimum(nxt, m - 1)], -1)
                 shared = refine(rank, shared, key, m)

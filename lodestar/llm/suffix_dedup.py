@@ -1,22 +1,24 @@
 """Operator 9, suffix-array deduplication: remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
-Texts are UTF-8 bytes; matches never cross documents; all occurrences go, judged on the input.  With ``words`` a second measure comes out of the
-same sort: the *passages* that another document holds too, strings of so many whole words (runs of bytes above 32), or of ``length`` bytes where the
-words have more.
-
-1. Shards.  Every window of ``near`` bytes (``length``; SAMPLE at most with ``words``) belongs to its minimizer, the k-gram of smallest hash in it
-   (the rightmost on ties).  Equal windows have equal minimizers, so windows are dealt out by the minimizer's hash and all occurrences of a
-   string meet in one shard.  Windows next to each other mostly share their minimizer: one row describes such a run (anchor hash, document,
-   first start, number, hash of the bytes).  Runs whose anchor hash occurs once in the corpus leave at once.
+Texts are UTF-8 bytes; matches never cross documents; all occurrences go, judged on the input.  With ``words`` a second measure comes beside it:
+the *passages* that another document holds too, strings of so many whole words (runs of bytes above 32), or of ``length`` bytes where the words
+have more.
+
+1. Shards.  Every window of ``length`` bytes belongs to its minimizer, the k-gram of smallest hash in it (the rightmost on ties).  Equal
+   windows have equal minimizers, so windows are dealt out by the minimizer's hash and all occurrences of a string meet in one shard.
+   Windows next to each other mostly share their minimizer: one row describes such a run (anchor hash, document, first start, number, hash
+   of the bytes).  Runs whose anchor hash occurs once in the corpus leave at once.
 2. Equal runs (copies) are counted before anything is moved: one representative with its count goes on.  Only these runs' bytes are cut
    from the texts and sent to the shards, a few of the corpus's bytes; a broadcast bitmap picks the texts concerned.
 3. Each shard sorts its suffixes by external induced sorting (see suffix_array) with common prefixes cut at ``length``; a group of suffixes
-   that share ``length`` bytes and stand for two or more occurrences is repeated.  Passages are looked for in the groups that share ``near`` bytes
-   (equal ones by their 64-bit hash).  Runs of an anchor that has equal runs only are repeated as a whole and need no sort.
-   Passages with fewer bytes than ``near`` go through all steps once more, cut out as texts of their own with a smaller ``near``.
+   that share ``length`` bytes and stand for two or more occurrences is repeated.  Runs of an anchor that has equal runs only are repeated as
+   a whole and need no sort.
 4. A shard of more than MOST_BYTES, such as that of a hot passage (one run per distinct surrounding at each of its edges), is not sorted: each
    of its windows becomes a row, and windows are counted by their exact hash (64 bits, within one anchor) over all tasks.
-5. Spans go back to all occurrences of their run, and each document's spans are united and cut out; texts without any are not shuffled.
+5. Passages of SAMPLE to ``length`` - 1 bytes are dealt out and met in the same way, by minimizers of windows of SAMPLE bytes; a shard compares
+   its passages by their 64-bit hash, without a sort (sorting them as well was tried: 1112 to 1230 CPU seconds a GB).  Passages with fewer
+   bytes come from the stretches of text that hold any, by minimizers of the shortest possible passage.
+6. Spans go back to all occurrences of their run, and each document's spans are united and cut out; texts without any are not shuffled.
 
 A sorted shard is held in memory (some 50 bytes for each of its bytes; the queues spill to the task's own temporary folder, which no other
 task reads), which MOST_BYTES bounds.  Step 4 holds no group in memory, but moves a row for each window instead of a byte for each start.
@@ -152,32 +154,54 @@ def extremes(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_rows(table: pa.Table, *how: int | bool | None) -> pa.Table:
-    """One shard: spans that are known already as they are, and those of the pieces to be sorted."""
-    known = table.filter(pa.compute.is_null(table["bytes"])).select(FOUND.names)
+def shard_rows(table: pa.Table, near: int, length: int, words: int | None) -> pa.Table:
+    """One shard: spans that are known already as they are, and those of the pieces that have to be compared."""
+    known = table.filter(pa.compute.is_null(table["bytes"])).select(FOUND.names).cast(FOUND)
     pieces = table.filter(pa.compute.is_valid(table["bytes"]))
-    return pa.concat_tables([known.cast(FOUND), shard_groups(pieces, *how)]) if len(pieces) else known.cast(FOUND)
+    if not len(pieces):
+        return known
+    return pa.concat_tables([known, passage_groups(pieces, near, length, words) if words else shard_groups(pieces, length)])
 
 
-def whole_runs(size: np.ndarray, lead: np.ndarray, blob: np.ndarray, part: dict[str, np.ndarray], near: int, length: int, words: int | None, strings: bool) -> tuple[np.ndarray, ...]:
+def whole_runs(size: np.ndarray, lead: np.ndarray, blob: np.ndarray, part: dict[str, np.ndarray], near: int, length: int, words: int | None) -> tuple[np.ndarray, ...]:
     """(run, kind, first, last) of runs that are repeated as a whole."""
     base = np.cumsum(size) - size
-    whole = np.clip(size - length + 1, 0, part["count"]) * strings
     apart = part["low"] < part["high"]
-    some, other = np.flatnonzero(whole), np.flatnonzero((whole > 0) & apart)
-    found = [(some, np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), whole[some] - 1 + length)]
     if words:
         ws, wm = passages_at(blob > 32, base, base + size, part["count"], lead, words, near, length)
         run = np.searchsorted(base, ws, "right") - 1
         ws, wm, run = ws[apart[run]], wm[apart[run]], run[apart[run]]
-        found.append((other, np.full(len(other), 1), np.zeros(len(other), np.int64), whole[other] - 1 + length))
-        found.append((run, np.full(len(run), 1), ws - base[run], ws + wm - base[run]))
-    return united(*(np.concatenate([f[k] for f in found]) for k in range(4)))
+        return united(run, np.full(len(run), 1), ws - base[run], ws + wm - base[run])
+    whole = np.clip(size - length + 1, 0, part["count"])
+    run = np.concatenate([np.flatnonzero(whole), np.flatnonzero((whole > 0) & apart)])
+    kind = np.repeat([0, 1], [np.count_nonzero(whole), len(run) - np.count_nonzero(whole)])
+    return run, kind, np.zeros(len(run), np.int64), whole[run] - 1 + length
 
 
-def shard_groups(table: pa.Table, near: int, length: int, words: int | None, strings: bool) -> pa.Table:
-    """The pieces of one shard: byte ranges of each run that repeated strings (kind 0) and passages of other documents (kind 1) cover, by suffix sorting."""
-    weight, count, lead, low, high = (table[c].to_numpy() for c in ("weight", "count", "lead", "low", "high"))
+def passage_groups(table: pa.Table, near: int, length: int, words: int) -> pa.Table:
+    """The pieces of one shard: byte ranges of each run that passages of other documents cover (kind 1), equal ones found by their hash."""
+    count, lead, low, high = (table[c].to_numpy() for c in ("count", "lead", "low", "high"))
+    data, off = V.raw(V.binary(table["bytes"]))
+    base = off[:-1]
+    ws, wm = passages_at(data > 32, base, off[1:], count, lead, words, near, length)
+    run = np.searchsorted(base, ws, "right") - 1
+    shared = extremes(V.span_hash(V.prefix_hash(UNIT[data]), ws, ws + wm), low[run], high[run])
+    ws, wm, run = ws[shared], wm[shared], run[shared]
+    V.trim()
+    return found_rows(table, united(run, np.full(len(run), 1), ws - base[run], ws + wm - base[run]))
+
+
+def found_rows(table: pa.Table, spans: tuple[np.ndarray, ...]) -> pa.Table:
+    """Spans (piece, kind, first, last) of a shard's pieces as rows of the pieces' runs."""
+    run, kind, first, last = spans
+    take = pa.array(run)
+    return pa.Table.from_arrays([table["anchor"].combine_chunks().take(take), table["body"].combine_chunks().take(take), pa.array(kind, pa.int32()), pa.array(first), pa.array(last)], schema=FOUND)
+
+
+def shard_groups(table: pa.Table, length: int) -> pa.Table:
+    """The pieces of one shard: byte ranges of each run that repeated strings (kind 0) and strings of other documents (kind 1) cover, by suffix
+    sorting."""
+    weight, count, low, high = (table[c].to_numpy() for c in ("weight", "count", "low", "high"))
     data, off = V.raw(V.binary(table["bytes"]))
     n = len(off) - 1
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
@@ -192,45 +216,24 @@ def shard_groups(table: pa.Table, near: int, length: int, words: int | None, str
             t[V.ragged(base[a:b], lengths)] = data[off[a] : off[b]].astype(np.int16) + 2
         t[-1] = 0
         end = off[1:] + np.arange(n)
-        whole = np.clip(end - base - length + 1, 0, count) * strings  # starts of strings of ``length``
+        whole = np.clip(end - base - length + 1, 0, count)  # starts of strings of ``length``
         flag, other = np.zeros(size, bool), np.zeros(size, bool)
-        ws, wm = passages_at(t > 34, base, end, count, lead, words, near, length) if words else (np.empty(0, np.int64),) * 2
-        candidate = np.zeros(len(ws), bool)
-        for pos, group, lcp in sa.equal_groups(sa.SuffixSorter(t, folder, length).descending(), near):
-            if len(ws):
-                at = np.minimum(np.searchsorted(ws, pos), len(ws) - 1)
-                candidate[at[ws[at] == pos]] = True
+        for pos, group, _ in sa.equal_groups(sa.SuffixSorter(t, folder, length).descending(), length):
             run = np.searchsorted(base, pos, "right") - 1
-            new = np.append(True, (group[1:] != group[:-1]) | (lcp[1:] < length))
-            group = np.cumsum(new)
             ok = pos - base[run] < whole[run]
             pos, run, group = pos[ok], run[ok], group[ok]
             if len(pos):
                 flag[pos[np.bincount(group, weights=weight[run])[group] >= 2]] = True
                 other[pos[extremes(group, low[run], high[run])]] = True
-        twice = weight >= 2  # alone in its group, but the run itself occurs more than once
-        flag[V.ragged(base[twice], whole[twice])] = True
-        apart = low < high
-        other[V.ragged(base[apart], whole[apart])] = True
-        found = [spans_of(flag, base, end, length, 0)]
-        if words:
-            run = np.searchsorted(base, ws, "right") - 1
-            chosen = candidate | apart[run]
-            ws, wm, run = ws[chosen], wm[chosen], run[chosen]
-            if len(ws):
-                shared = extremes(V.span_hash(V.prefix_hash(UNIT[t]), ws, ws + wm), low[run], high[run])
-                ws, wm, run = ws[shared], wm[shared], run[shared]
-            found.append(spans_of(other, base, end, length, 1))
-            found.append((run, np.full(len(run), 1), ws - base[run], ws + wm - base[run]))
+        for mark, of in ((flag, weight >= 2), (other, low < high)):  # alone in its group, but the run itself occurs more than once
+            mark[V.ragged(base[of], whole[of])] = True
+        found = [spans_of(flag, base, length, 0), spans_of(other, base, length, 1)]
         del t
     V.trim()
-    run, kind, first, last = (np.concatenate([f[k] for f in found]) for k in range(4))
-    run, kind, first, last = united(run, kind, first, last)
-    take = pa.array(run)
-    return pa.Table.from_arrays([table["anchor"].combine_chunks().take(take), table["body"].combine_chunks().take(take), pa.array(kind, pa.int32()), pa.array(first), pa.array(last)], schema=FOUND)
+    return found_rows(table, tuple(np.concatenate([f[k] for f in found]) for k in range(4)))
 
 
-def spans_of(flag: np.ndarray, base: np.ndarray, end: np.ndarray, length: int, kind: int) -> tuple[np.ndarray, ...]:
+def spans_of(flag: np.ndarray, base: np.ndarray, length: int, kind: int) -> tuple[np.ndarray, ...]:
     """(piece, kind, first byte, last byte + 1) of the strings of ``length`` that begin at flagged positions."""
     first, stop = V.runs(flag, np.append(base, len(flag)))
     run = np.searchsorted(base, first, "right") - 1
@@ -287,35 +290,36 @@ def cut_runs(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iter
             yield size, lead, data[V.ragged(start, size)], part
 
 
-def window_groups(cut: DataFrame, near: int, length: int, words: int | None, strings: bool, tables: scratch.Tables) -> DataFrame:
+def window_groups(cut: DataFrame, near: int, length: int, words: int | None, tables: scratch.Tables) -> DataFrame:
     """The same as :func:`shard_groups` by counting whole strings: no task needs more than its own rows, however many runs an anchor has."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size, lead, blob, part in cut_runs(batches, length, 128):
             base = np.cumsum(size) - size
-            whole = np.clip(size - length + 1, 0, part["count"]) * strings
-            at = V.ragged(base, whole)
-            run, kind, width = np.repeat(np.arange(len(size)), whole), np.zeros(len(at), np.int32), np.full(len(at), length)
             if words:
-                ws, wm = passages_at(blob > 32, base, base + size, part["count"], lead, words, near, length)
-                at, width = np.append(at, ws), np.append(width, wm)
-                run, kind = np.append(run, np.searchsorted(base, ws, "right") - 1), np.append(kind, np.full(len(ws), 1, np.int32))
+                at, width = passages_at(blob > 32, base, base + size, part["count"], lead, words, near, length)
+                run = np.searchsorted(base, at, "right") - 1
+            else:
+                whole = np.clip(size - length + 1, 0, part["count"])
+                at, run = V.ragged(base, whole), np.repeat(np.arange(len(size)), whole)
+                width = np.full(len(at), length)
             h = V.span_hash(V.prefix_hash(UNIT[blob]), at, at + width).view(np.int64)
-            own = {c: part[c][run] for c in ("anchor", "body", "weight", "low", "high")} | {"kind": kind, "first": at - base[run], "width": width, "h": h}
+            own = {c: part[c][run] for c in ("anchor", "body", "weight", "low", "high")} | {"first": at - base[run], "width": width, "h": h}
             yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in own.items()})
 
-    rows = cut.mapInArrow(windows, "anchor long, body long, weight long, low long, high long, kind int, first long, width long, h long")
-    often = rows.groupBy("anchor", "kind", "h").agg(F.sum("weight").alias("n"), (F.min("low") < F.max("high")).alias("apart"))
-    often = tables.save(often.where("n >= 2 and (kind = 0 or apart)"), "windows")
-    starts = rows.join(often.select("anchor", "kind", "h", "apart"), ["anchor", "kind", "h"]).select("anchor", "body", F.explode(F.expr("if(kind = 0 and apart, array(0, 1), array(kind))")).alias("kind"), "first", "width")
+    rows = cut.mapInArrow(windows, "anchor long, body long, weight long, low long, high long, first long, width long, h long")
+    often = rows.groupBy("anchor", "h").agg(F.sum("weight").alias("n"), (F.min("low") < F.max("high")).alias("apart"))
+    often = tables.save(often.where("apart" if words else "n >= 2"), "windows")
+    kinds = F.lit(1) if words else F.explode(F.expr("if(apart, array(0, 1), array(0))"))
+    starts = rows.join(often.select("anchor", "h", "apart"), ["anchor", "h"]).select("anchor", "body", kinds.alias("kind"), "first", "width")
     place = F.row_number().over(Window.partitionBy("anchor", "body", "kind", "width").orderBy("first"))
     stretch = starts.withColumn("stretch", F.col("first") - place).groupBy("anchor", "body", "kind", "width", "stretch")
     return stretch.agg(F.min("first").alias("first"), (F.max("first") + F.col("width")).alias("last")).select("anchor", "body", "kind", "first", "last")
 
 
-def repeated_spans(df: DataFrame, near: int, length: int, k: int, words: int | None, tables: scratch.Tables, strings: bool = True) -> DataFrame:
-    """(doc, tid, kind, first, last): byte ranges covered by repeated strings (kind 0) and by passages of other documents (kind 1), for each
-    document (``df``: doc, tid, t); without ``strings`` passages of fewer than ``length`` bytes only."""
+def repeated_spans(df: DataFrame, near: int, length: int, k: int, words: int | None, tables: scratch.Tables) -> DataFrame:
+    """(doc, tid, kind, first, last): byte ranges covered by repeated strings of ``length`` (kind 0) and by those of other documents (kind 1), for
+    each document (``df``: doc, tid, t); with ``words`` by passages of other documents of ``near`` to ``length`` - 1 bytes (kind 1) instead."""
     runs = scratch.persist_table(run_rows(df, near, length, k), "runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("body") != F.max("body")).alias("mixed")).where("c > 1").select("anchor", "mixed")
     shared = tables.save(shared, "anchors")  # a table, so that the join below can be split where an anchor is hot
@@ -341,13 +345,13 @@ def repeated_spans(df: DataFrame, near: int, length: int, k: int, words: int | N
             if len(sure):
                 own = {c: v[sure] for c, v in part.items()}
                 blob = blob[V.ragged(ends[sure], size[sure])]
-                run, kind, first, last = whole_runs(size[sure], lead[sure], blob, own, near, length, words, strings)
+                run, kind, first, last = whole_runs(size[sure], lead[sure], blob, own, near, length, words)
                 yield piece_rows({c: own[c][run] for c in ("shard", "anchor", "body")} | {"kind": kind, "first": first, "last": last})
 
     sent = with_texts(df, reps.where(~large)).mapInArrow(pieces, ", ".join(f"{f.name} {PIECE_TYPES.get(f.name, 'long')}" for f in PIECES))
-    found = sent.groupBy("shard").applyInArrow(lambda t: shard_rows(t, near, length, words, strings), "anchor long, body long, kind int, first long, last long")
+    found = sent.groupBy("shard").applyInArrow(lambda t: shard_rows(t, near, length, words), "anchor long, body long, kind int, first long, last long")
     if not reps.where(large).isEmpty():
-        found = found.unionByName(window_groups(tables.save(with_texts(df, reps.where(large)), "hot-texts"), near, length, words, strings, tables))
+        found = found.unionByName(window_groups(tables.save(with_texts(df, reps.where(large)), "hot-texts"), near, length, words, tables))
     found = tables.save(found, "repeated")
     del sent
     scratch.release(df.sparkSession)
@@ -388,8 +392,8 @@ def short_passages(df: DataFrame, words: int, near: int, k: int, tables: scratch
     dense = tables.save(dense_stretches(df, words, near).select(F.coalesce("doc", "tid").alias("who"), F.xxhash64("doc", "tid", "shift").alias("piece"), "*"), "stretches")
     if dense.isEmpty():
         return dense.select("doc", "tid", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
-    spans = repeated_spans(dense.select(F.col("who").alias("doc"), F.col("piece").alias("tid"), "t"), min(near, 2 * words - 1), near, k, words, tables, strings=False)
-    spans = spans.where("kind = 1").select(F.col("doc").alias("who"), F.col("tid").alias("piece"), F.col("first").alias("f"), F.col("last").alias("l"))
+    spans = repeated_spans(dense.select(F.col("who").alias("doc"), F.col("piece").alias("tid"), "t"), min(near, 2 * words - 1), near, k, words, tables)
+    spans = spans.select(F.col("doc").alias("who"), F.col("tid").alias("piece"), F.col("first").alias("f"), F.col("last").alias("l"))
     place = dense.select("who", "piece", "doc", "tid", "shift").distinct()
     return place.join(spans, ["who", "piece"]).select("doc", "tid", F.lit(1).alias("kind"), (F.col("f") + F.col("shift")).alias("first"), (F.col("l") + F.col("shift")).alias("last"))
 
@@ -411,10 +415,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(docs_id(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("t"), *held)
     tables = scratch.Tables()
     texts = docs.select("doc", "tid", "t")
-    near = min(length, SAMPLE) if words else length
-    back = repeated_spans(texts, near, length, k, words, tables)
+    back = repeated_spans(texts, length, length, k, None, tables)
     if words:
-        back = back.unionByName(short_passages(texts, words, near, k, tables))
+        near = min(length, SAMPLE)
+        back = back.unionByName(repeated_spans(texts, near, length, k, words, tables)).unionByName(short_passages(texts, words, near, k, tables))
     spans = back.groupBy("doc", "tid").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans"))
     spans = scratch.persist_table(spans.select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "spans"), "spans")
     tables.drop()
