@@ -16,6 +16,7 @@ Every prefix's count is stored, so truncation and budget questions need no secon
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -43,6 +44,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 KIND, LOWER, ODD = _classes()
 UNIT = V.unit_table(SAFE, 11)
+LONG = 256  # bytes from which a word is worked through by itself
 #: The endings that the vocabulary's own splitting pattern takes together with an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -102,9 +104,11 @@ class WordVocab:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.specials = [t["content"] for t in model["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
         model = model["model"]
         mark = model["end_of_word_suffix"]
         symbol = byte_symbols()
+        self.to_bytes = str.maketrans({c: chr(b) for c, b in symbol.items()})
         vocab = model["vocab"]
         size = max(vocab.values()) + 1
         self.final = np.zeros(max(size, self.tokenizer.get_vocab_size()), bool)
@@ -115,6 +119,7 @@ class WordVocab:
             body = bytes(symbol[c] for c in (tok[: -len(mark)] if closed else tok))
             self.final[i], self.length[i] = closed, len(body)
             keys.append((body, closed, i))
+        self.known = {c: {body: i for body, closed, i in keys if closed == c} for c in (False, True)}
         self.longest = int(self.length.max())
         ids = np.array([k[2] for k in keys], np.int64)
         closed = np.array([k[1] for k in keys])
@@ -139,6 +144,7 @@ class WordVocab:
             made.append(r)
         order = np.argsort(pair)
         self.pair, self.made = np.array(pair, np.int64)[order], np.array(made, np.int64)[order]
+        self.fits: dict[tuple[int, int], bool] = {}
 
     def token(self, hashes: np.ndarray, closed: bool) -> np.ndarray:
         """Token of each hashed byte string, -1 where the vocabulary has none."""
@@ -174,6 +180,40 @@ class WordVocab:
             b = np.where(undo_a, b, self.left[b])
         return ok
 
+    def words(self, text: str) -> tuple[list[bytes], int]:
+        """(words, special strings) of any text: split by the library's own normaliser and pattern, each word as the bytes that are encoded."""
+        out, pieces = [], self.special.split(text)
+        for piece in pieces:
+            if piece:
+                out += [w.translate(self.to_bytes).encode("latin-1") for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(piece))]
+        return out, len(pieces) - 1
+
+    def fit(self, a: int, b: int) -> bool:
+        """:meth:`compatible` for one pair, remembered."""
+        known = self.fits.get((a, b))
+        if known is None:
+            if len(self.fits) > 1_000_000:
+                self.fits.clear()
+            known = self.fits[a, b] = bool(self.compatible(np.array([a]), np.array([b]))[0])
+        return known
+
+    def long_counts(self, word: bytes) -> np.ndarray:
+        """The prefix dynamic programme over one long word, position by position: counts of its first 0, 1, ... bytes, closed."""
+        n = len(word)
+        token, count, closed = [-1] * (n + 1), [0] * (n + 1), np.zeros(n + 1, np.int64)
+        inner, last = self.known[False], self.known[True]
+        for i in range(1, n + 1):
+            for of in (inner, last):
+                for j in range(max(0, i - self.longest), i):
+                    t = of.get(word[j:i])
+                    if t is not None and (j == 0 or self.fit(token[j], t)):
+                        if of is inner:
+                            token[i], count[i] = t, count[j] + 1
+                        else:
+                            closed[i] = count[j] + 1
+                        break
+        return closed
+
     def prefix_counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Prefix dynamic programme over all given words of ``data`` at once.
 
@@ -182,6 +222,15 @@ class WordVocab:
         n = len(starts)
         if not n:
             return np.zeros(1, np.int64), np.zeros(0, np.int64)
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            off = np.append(0, np.cumsum(ends - starts + 1))
+            out = np.empty(off[-1], np.int64)
+            short = np.flatnonzero(ends - starts <= LONG)
+            _, out[V.ragged(off[:-1][short], (ends - starts + 1)[short])] = self.prefix_counts(data, starts[short], ends[short])
+            for k in long.tolist():
+                out[off[k] : off[k + 1]] = self.long_counts(data[starts[k] : ends[k]].tobytes())
+            return off, out
         order = np.argsort(ends - starts, kind="stable")[::-1]
         s, e = starts[order], ends[order]
         size = (e - s).astype(np.int64)

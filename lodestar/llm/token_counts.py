@@ -3,14 +3,19 @@
 ``token_counts`` gives a text's total, ``token_prefixes`` the count at every code-point prefix, and ``truncate`` answers budget
 questions from such stored counts without encoding anything again.
 
+Words of plain texts are split by vectorised rules.  A text with a code point above U+02FF, a control character or a special string is split by the
+vocabulary library's normaliser and pattern; its words go through the same programme.
+
 Defined cases: a null text counts as empty (0 tokens, prefixes ``[0]``); repeated rows are kept, each with its own count; all other
-columns of the input are kept by ``token_prefixes`` and ``truncate`` as they are; an empty table gives an empty table.  Texts with code
-points above U+02FF, control characters or special strings go to the vocabulary's own library, cut at white space for prefixes.
+columns of the input are kept by ``token_prefixes`` and ``truncate`` as they are; an empty table gives an empty table.  A prefix that ends inside
+a stretch without blanks which normalisation changes in length, or which holds a special string, is encoded by the library.
 No row is shuffled: the operator is one pass over the scan.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,8 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 600_000
 _vocab: dict[str, WordVocab] = {}
 _counts: dict[str, tuple[V.Memo, np.ndarray]] = {}
+_odd: dict[bytes, np.ndarray] = {}
+BLANKS = re.compile("[ \t\n\r\x0b\x0c\xa0\u2028\u2029\u3000]+")
 
 
 def vocabulary(path: str | None) -> WordVocab:
@@ -55,6 +62,18 @@ def word_totals(v: WordVocab, words: Words, path: str | None) -> np.ndarray:
     return counts[row][inverse]
 
 
+def odd_counts(v: WordVocab, words: set[bytes]) -> dict[bytes, np.ndarray]:
+    """Counts at every byte prefix of words that the library has split, from the programme; kept for the worker's next chunks."""
+    if len(_odd) > CACHE_WORDS // 4:
+        _odd.clear()
+    new = [w for w in words if w not in _odd]
+    if new:
+        ends = np.cumsum([len(w) for w in new])
+        off, counts = v.prefix_counts(np.frombuffer(b"".join(new), np.uint8), ends - [len(w) for w in new], ends)
+        _odd.update({w: counts[a:b] for w, a, b in zip(new, off[:-1].tolist(), off[1:].tolist(), strict=True)})
+    return _odd
+
+
 def count_texts(col: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, tokens) of every text of an Arrow column; nulls count as empty."""
     v = vocabulary(path)
@@ -63,9 +82,11 @@ def count_texts(col: pa.Array, path: str | None) -> tuple[np.ndarray, np.ndarray
     for _, _, data, off in V.chunks(col):
         words = Words(data, off, v.specials)
         n = V.sums(word_totals(v, words, path), words.row, len(off) - 1)
-        for k in np.flatnonzero(~words.plain):
-            text = data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace")
-            n[k] = len(v.tokenizer.encode(text, add_special_tokens=False).ids)
+        odd = {k: v.words(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace")) for k in np.flatnonzero(~words.plain).tolist()}
+        if odd:
+            counts = odd_counts(v, {w for own, _ in odd.values() for w in own})
+            for k, (own, specials) in odd.items():
+                n[k] = specials + sum(int(counts[w][-1]) for w in own)
         size.append(np.diff(off))
         total.append(n)
     if not size:
@@ -86,21 +107,44 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("id", id_col)
 
 
+def stretch_counts(stretch: str, v: WordVocab) -> np.ndarray:
+    """Token counts of stretch[:0], stretch[:1], ... of a text without blanks."""
+    n = len(stretch)
+    letters = {c: v.tokenizer.normalizer.normalize_str(c) for c in set(stretch)}
+    even = all(len(x) == 1 for x in letters.values()) and unicodedata.is_normalized("NFC", stretch) and not v.special.search(stretch)
+    if even:
+        lowered = "".join(letters[c] for c in stretch)
+        words = [w.translate(v.to_bytes).encode("latin-1") for w, _ in v.tokenizer.pre_tokenizer.pre_tokenize_str(lowered)]
+        even = b"".join(words) == lowered.encode()  # nothing but the words, so places can be counted off
+    if not even:
+        return np.array([len(v.tokenizer.encode(stretch[:i], add_special_tokens=False).ids) for i in range(n + 1)], np.int32)
+    counts = odd_counts(v, set(words))
+    out, base, at = np.zeros(n + 1, np.int32), 0, 0
+    for w in words:
+        body = np.frombuffer(w, np.uint8)
+        ends = np.append(np.flatnonzero((body & 0xC0) != 0x80)[1:], len(body))
+        inner = counts[w][ends]
+        if len(ends) == 3 and w[:1] == b"'" and w[1:2].isalpha():
+            inner = inner.copy()
+            inner[1] = 2  # a contraction that is cut is an apostrophe and a letter
+        out[at + 1 : at + 1 + len(ends)] = base + inner
+        base, at = base + int(counts[w][-1]), at + len(ends)
+    return out
+
+
 def prefix_counts_of(text: str, v: WordVocab) -> np.ndarray:
     """Token counts of text[:0], text[:1], ..., text[:len(text)]."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     words = Words(data, np.array([0, len(data)]), v.specials)
     n = len(text)
     if not words.plain[0]:
         out = np.zeros(n + 1, np.int32)
-        base = start = 0
-        for i in range(1, n + 1):
-            if text[i - 1].isspace():
-                base += len(v.tokenizer.encode(text[start : i - 1], add_special_tokens=False).ids)
-                start = i
-                out[i] = base
-            else:
-                out[i] = base + len(v.tokenizer.encode(text[start:i], add_special_tokens=False).ids)
+        base = at = 0
+        for gap in [*BLANKS.finditer(text), None]:
+            stop, after = gap.span() if gap else (n, n)
+            out[at : stop + 1] = base + stretch_counts(text[at:stop], v)
+            base, at = int(out[stop]), after
+            out[stop : after + 1] = base
         return out
     uniq, first, inverse = words.distinct()
     data, s, e = words.utf8(first)

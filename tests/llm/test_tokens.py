@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,23 @@ def test_every_prefix(text):
     assert token_counts.prefix_counts_of(text, v).tolist() == [n_tokens(text[:i]) for i in range(len(text) + 1)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("'sreé ‘’—日本語қЖжΣσςİıＡ①२\u0301\u093f한글\u1100\u1161\t\u3000\x1c😀<|endoftext>")), max_size=25))
+def test_every_prefix_of_any_script(text):
+    v = token_counts.vocabulary(None)
+    assert token_counts.prefix_counts_of(text, v).tolist() == [n_tokens(text[:i]) for i in range(len(text) + 1)]
+
+
+def test_long_text_without_blanks():
+    v, rng = token_counts.vocabulary(None), np.random.default_rng(3)
+    text = "".join(map(chr, rng.choice(np.arange(0x4E00, 0x4E00 + 600), 20_000)))
+    start = time.perf_counter()
+    got = token_counts.prefix_counts_of(text, v)
+    took = time.perf_counter() - start
+    assert took < 20 and len(got) == 20_001  # encoding every prefix would take minutes
+    assert all(got[i] == n_tokens(text[:i]) for i in (1, 2, 7, 300, 9_999, 20_000))
+
+
 def test_truncate(spark):
     df = token_counts.truncate(token_counts.token_prefixes(docs(spark, TEXTS)), 4)
     for r in df.collect():
