@@ -61,7 +61,7 @@ RECORD = np.dtype([("hash", "<u4"), ("gap", "u1")])
 def to_text(hashes: np.ndarray, pos: np.ndarray) -> str:
     """The printable form of a fingerprint."""
     gap = np.diff(pos, prepend=0)
-    filler = np.maximum(gap - 1, 0) // 255 if len(gap) else gap
+    filler = gap // 255 if len(gap) else gap  # a real record has a gap below 255
     rec = np.zeros(len(hashes) + int(filler.sum()), RECORD)
     rec["gap"] = 255
     at = np.cumsum(filler + 1) - 1
@@ -74,7 +74,6 @@ def from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of a printable fingerprint."""
     rec = np.frombuffer(base64.b64decode(text), RECORD)
     real = rec["gap"] != 255
-    real |= rec["hash"] != 0
     return rec["hash"][real], np.cumsum(rec["gap"].astype(np.int64))[real]
 
 
