@@ -4,7 +4,7 @@ A known word is scored by its log frequency in each language; an unseen word fal
 that knows any of them, down to single letters.  A text's score in a language is the mean over its words; the best mean wins.
 
 Model: counts of words and n-grams over a sample of labelled training rows (``sample_docs`` with the smallest hash of their id: the
-documented bound), cut to the ``top_words`` and ``top_grams`` most frequent per language, so its size is bounded whatever the corpus.
+documented bound, which also bounds the model); nothing of the sample is left out.
 Every whole text is scored.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled training row everything is ``und``;
@@ -24,24 +24,24 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textvec as V
 
-SAMPLE_DOCS, TOP_WORDS, TOP_GRAMS, LONGEST, CACHE = 20_000, 30_000, 8_000, 6, 200_000
+SAMPLE_DOCS, LONGEST, CACHE = 20_000, 6, 200_000
 MISSING = 1.5  # decades below the rarest entry that a word or n-gram absent from a language costs
 _letters: list[np.ndarray] = []
 _models: dict[str, tuple[V.Memo, np.ndarray]] = {}
 
 
 def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(is a letter or mark, lower case, random unit) for every code point."""
+    """(is a letter, 2, or a mark, 1; lower case; random unit) for every code point."""
     if not _letters:
         n = 0x110000
-        flag = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(n)), bool, n)
+        flag = np.fromiter(("ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(n)), np.uint8, n)
         low = np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(n)), np.uint32, n)
         _letters.extend([flag, low, V.unit_table(n, 23)])
     return tuple(_letters)
 
 
 class Text:
-    """Words (runs of letters, lower-cased) of a chunk: padded code points, starts, ends, rows and hashes."""
+    """Words (runs of letters and marks with a letter among them, lower-cased) of a chunk: padded code points, starts, ends, rows and hashes."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         flag, low, unit = letters()
@@ -53,7 +53,11 @@ class Text:
             parts = [V.code_points(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
             cp = np.concatenate(parts)
             rows = np.append(0, np.cumsum([len(p) for p in parts]))
-        self.start, self.end = V.runs(flag[cp], rows)
+        kind = flag[cp]
+        start, end = V.runs(kind > 0, rows)
+        before = np.append(0, np.cumsum(kind == 2))
+        worded = before[end] > before[start]
+        self.start, self.end = start[worded], end[worded]
         self.row = V.row_of(rows, self.start)
         self.unit = unit[low[cp]]
         self.hash = V.span_hash(V.prefix_hash(self.unit), self.start, self.end) if len(self.start) else np.empty(0, np.uint64)
@@ -94,28 +98,26 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "lang string, n int, key long, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> dict:
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model: languages and, for words and each n, sorted keys with a log10 frequency per language."""
-    from pyspark.sql import Window
-
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     hashed = F.xxhash64(F.col(id_col))
     cut = rows.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     sample = rows.where(hashed <= F.lit(cut)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t")) if cut is not None else rows.limit(0).select(F.lit("").alias("lang"), F.lit("").alias("t"))
     counts = scratch.persist_table(count_rows(sample), "language-counts")
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
-    w = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "key")
-    best = counts.withColumn("r", F.row_number().over(w)).where(F.expr(f"r <= if(n = 0, {top_words}, {top_grams})"))
-    got = best.join(totals, ["lang", "n"]).select("lang", "n", "key", F.log10(F.col("c") / F.col("total")).alias("v")).toPandas()
+    got = counts.join(F.broadcast(totals), ["lang", "n"]).select("lang", "n", "key", F.log10(F.col("c") / F.col("total")).cast("float").alias("v")).toArrow()  # totals: seven rows a language
     scratch.drop_table(counts)
-    langs = sorted(got.lang.unique())
+    names = got["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    lang = np.searchsorted(langs, names.dictionary.to_pylist())[names.indices.to_numpy()] if langs else np.empty(0, np.int64)
+    size, key, value = got["n"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["v"].to_numpy()
     model = {"langs": langs, "tables": []}
     for n in range(LONGEST + 1):
-        part = got[got.n == n]
-        keys, row = np.unique(part.key.to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        lowest = float(part.v.min()) - MISSING if len(part) else 0.0
-        table = np.full((len(keys), len(langs)), lowest, np.float32)
-        table[row, np.searchsorted(langs, part.lang.to_numpy())] = part.v.to_numpy(np.float32)
+        part = size == n
+        keys, row = np.unique(key[part], return_inverse=True)
+        table = np.full((len(keys), len(langs)), value[part].min() - MISSING if part.any() else 0.0, np.float32)
+        table[row, lang[part]] = value[part]
         model["tables"].append((keys, table))
     return model
 
@@ -144,7 +146,7 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """(id, lang_pred, score) for every row, or with ``carry`` these columns in the id's place; score is the winner's share over all
     languages of 10 to the mean log frequency, sharpened by the number of words (20 at most)."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by top_words and top_grams per language
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     key = f"{id(model)}-{np.random.default_rng().integers(1 << 60)}"
     kept = [id_col] if carry is None else carry
     picked = df.select(*kept) if text_col in kept else df.select(*kept, text_col)
