@@ -18,6 +18,9 @@ def test_language_held_out(spark):
     model = language_id.fit(df.where("doc_id < 300"))
     got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
     assert np.mean([got[i].lang_pred == k for i, _, k in rows if i >= 300]) > 0.97
+    assert language_id.predict(spark.createDataFrame([(1, "\u0301 \u0308\u0300 12")], "doc_id long, text string"), model).collect()[0].lang_pred == "und"
+    clash = spark.createDataFrame([(1, "der und", "x", 0.5, "y")], "doc_id long, text string, lang_pred string, score double, lang string")
+    assert [tuple(r) for r in language_id.predict(clash, model).select("doc_id", "lang_pred").collect()] == [(1, "bb")]
     odd = [(1, None), (2, ""), (3, "12 §§"), (4, "treehouses"), (5, "x" * 20000), (5, "x" * 20000), (None, "бис")]
     out = language_id.predict(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()
     assert [r.lang_pred for r in out[:4]] == ["und", "und", "und", "aa"] and out[6].lang_pred == "cc" and len(out) == 7
@@ -100,3 +103,37 @@ def test_typed_parts(spark):
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "a.png", 10), ("audio", "b.wav", 750)] and r.attachment_tokens == 760
 
 
+
+
+def test_naive_bayes_learns_from_ruled_urls(spark):
+    rng = np.random.default_rng(7)
+    bad, good, noise = ["melon", "quartz"], ["cedar", "lantern"], ["river", "stone", "cloud"]
+    hosts = lambda own, k: "".join(rng.permutation([own[k % 2], str(rng.choice(noise))]))
+    urls = [f"http://{w}{k}.org/{w}" for k in range(4) for w in (*bad, *good, *noise)]
+    urls += [f"http://{hosts(bad, k)}.example.org/es/{k}" for k in range(60)] + [f"http://{hosts(good, k)}.org/en/{k}" for k in range(60)]
+    held = [(f"http://{hosts(bad, k)}.net/p", "block") for k in range(20)] + [(f"http://{hosts(good, k)}.net/p", "allow") for k in range(20)]
+    long = "q" * 3000
+    urls += [u for u, _ in held] + [f"http://{long}.net/", "http://melonmelon.net/", "http://melonmelon.net/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {urls[r.page_id]: r for r in url_filter.judge(df).collect()}
+    assert np.mean([got[u].verdict == v for u, v in held]) > 0.9
+    assert got["http://melonmelon.net/"].words[:2] == ["melon", "melon"] and got[f"http://{long}.net/"].words[0] == long
+    counts = {v: {} for v in ("block", "allow")}
+    silent = {w for h, p, _ in url_filter.RULES for w in url_filter.words_of(f"{h} {p}")}
+    known = {w for r in got.values() for w in r.words if w in (*bad, *good, *noise)}
+    for u in urls:
+        r = got[u]
+        if r.rule:
+            for w in r.words:
+                if w in known and w not in silent:
+                    counts[r.verdict][w] = counts[r.verdict].get(w, 0) + 1
+    for v, seeds in (("block", url_filter.BLOCK), ("allow", url_filter.ALLOW)):
+        each = max(1.0, url_filter.SEED_SHARE * sum(counts[v].values()) / len(seeds))
+        for w in seeds:
+            counts[v][w] = counts[v].get(w, 0) + each
+    vocab = {*counts["block"], *counts["allow"]}
+    p = lambda v, w: (counts[v].get(w, 0) + 0.2) / (sum(counts[v].values()) + 0.2 * len(vocab))
+    for r in got.values():
+        odds = 3 / 7 * np.prod([p("block", w) / p("allow", w) for w in r.words if w in vocab])
+        assert abs(r.block_probability - odds / (1 + odds)) < 1e-9
+    assert len({round(p("block", w) / p("allow", w), 6) for w in vocab}) > 4
