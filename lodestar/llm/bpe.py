@@ -192,7 +192,7 @@ class WordVocab:
         """:meth:`compatible` for one pair, remembered."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[a, b] = bool(self.compatible(np.array([a]), np.array([b]))[0])
         return known

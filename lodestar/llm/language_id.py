@@ -28,6 +28,8 @@ SAMPLE_DOCS, LONGEST, CACHE = 20_000, 6, 200_000
 MISSING = 1.5  # decades below the rarest entry that a word or n-gram absent from a language costs
 _letters: list[np.ndarray] = []
 _models: dict[str, tuple[V.Memo, np.ndarray]] = {}
+V.cached("language", _models.clear)
+V.cached("language", _letters.clear)
 
 
 def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def count_rows(df: DataFrame) -> DataFrame:
     """(lang, n, key, c): occurrences of words (n = 0) and n-grams by language, counted inside each batch before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in V.trimmed(batches):
+        for b in V.trimmed(batches, "language"):
             names, lang = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
             for r0, _, data, off in V.chunks(V.binary(b.column(1))):
                 t = Text(data, off)
@@ -160,7 +162,7 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         if key not in _models:
             _models.clear()
             _models[key] = (V.Memo(CACHE), np.zeros((0, k), np.float32))
-        for b in V.trimmed(batches):
+        for b in V.trimmed(batches, "language"):
             names = np.array([*m["langs"], "und"], object)
             for r0, r1, data, off in V.chunks(V.binary(b.column(where))):
                 t = Text(data, off)

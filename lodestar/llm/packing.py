@@ -35,6 +35,7 @@ from .token_counts import CACHE_WORDS, vocabulary
 WINDOW, QUANTUM, END_ID = 2048, 256, 1
 BUCKET_ROWS = 20_000
 _ids: dict[str, list] = {}
+V.cached("tokens", _ids.clear)
 
 
 def word_ids(v: WordVocab, words: Words, path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +98,7 @@ def id_table(df: DataFrame, id_col: str, text_col: str, source_col: str, vocab_p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = np.dtype("<u2") if len(vocabulary(vocab_path).final) <= 1 << 16 else np.dtype("<u4")
-        for b in V.trimmed(batches):
+        for b in V.trimmed(batches, "tokens"):
             for a in range(0, max(b.num_rows, 1), 500):
                 p = b.slice(a, 500)
                 ids, off = encode_texts(p.column(1), vocab_path, end_id)
@@ -191,7 +192,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     both = stored.join(cuts, F.col("key") == F.col("_key")).select("doc", "n", "ids", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in V.trimmed(batches):
+        for b in V.trimmed(batches, "tokens"):
             for a in range(0, b.num_rows, 500):
                 p = b.slice(a, 500)
                 cut = p.column(3)

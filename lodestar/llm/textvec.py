@@ -7,7 +7,7 @@ memory is bounded by the chunk or by the largest single text, not by the batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
 _pow: dict[str, np.ndarray] = {}
+_caches: list[tuple[str, Callable[[], object]]] = []
+_user = [""]
 
 
 def _powers(base: int, n: int, key: str) -> np.ndarray:
@@ -166,8 +168,20 @@ def trim() -> None:
         pass
 
 
-def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; memory that a batch's work has freed goes back before the next one."""
+def cached(user: str, clear: Callable[[], object]) -> None:
+    """Name the operator that a module's cache in the worker belongs to."""
+    _caches.append((user, clear))
+
+
+def trimmed(batches: Iterator[pa.RecordBatch], user: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches; memory that a batch's work has freed goes back before the next one.  A worker lives on from operator to operator: the caches
+    of others than ``user`` are given up first."""
+    if user != _user[0]:
+        for name, clear in _caches:
+            if name != user:
+                clear()
+        _user[0] = user
+        trim()
     for b in batches:
         yield b
         trim()

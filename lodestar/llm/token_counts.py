@@ -32,6 +32,8 @@ CACHE_WORDS = 600_000
 _vocab: dict[str, WordVocab] = {}
 _counts: dict[str, tuple[V.Memo, np.ndarray]] = {}
 _odd: dict[bytes, np.ndarray] = {}
+for _cache in (_vocab, _counts, _odd):
+    V.cached("tokens", _cache.clear)
 BLANKS = re.compile("[ \t\n\r\x0b\x0c\xa0\u2028\u2029\u3000]+")
 
 
@@ -64,7 +66,7 @@ def word_totals(v: WordVocab, words: Words, path: str | None) -> np.ndarray:
 
 def odd_counts(v: WordVocab, words: set[bytes]) -> dict[bytes, np.ndarray]:
     """Counts at every byte prefix of words that the library has split, from the programme; kept for the worker's next chunks."""
-    if len(_odd) > CACHE_WORDS // 4:
+    if len(_odd) > CACHE_WORDS // 12:
         _odd.clear()
     new = [w for w in words if w not in _odd]
     if new:
@@ -99,7 +101,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in V.trimmed(batches):
+        for b in V.trimmed(batches, "tokens"):
             size, n = count_texts(b.column(1), vocab_path)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -31,6 +31,7 @@ WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 8192, 24576, (3, 4, 5)
 TOXIC_DOCS, CLEAN_DOCS, EPOCHS, BATCH, CACHE = 2500, 4000, 10, 64, 120_000
 THRESHOLD = 0.3
 _tables: dict[str, tuple[V.Memo, np.ndarray]] = {}
+V.cached("toxicity", _tables.clear)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -325,7 +326,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
         if key not in _tables:
             _tables.clear()
             _tables[key] = (V.Memo(CACHE), np.zeros((0, 6 * HIDDEN), np.float32))
-        for b in V.trimmed(batches):
+        for b in V.trimmed(batches, "toxicity"):
             scores, sizes = [], []
             for r0, r1, data, off in V.chunks(V.binary(b.column(1)), V.CHUNK_BYTES):
                 t = Text(data, off)
