@@ -106,14 +106,14 @@ def refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray, top: int | Non
         order = np.argsort(key)
     else:
         order = np.lexsort((key, own))
-    who, k = active[order], key[order]
-    r = rank[who]
+    who, k, r = active[order], key[order], own[order]
+    del own, order
     start = np.append(True, r[1:] != r[:-1])
     fresh = start | np.append(True, k[1:] != k[:-1])
-    place = np.arange(len(who))
-    group = np.maximum.accumulate(np.where(start, place, 0))
+    place = np.arange(len(who), dtype=np.int32 if len(who) < 1 << 31 else np.int64)
     sub = np.maximum.accumulate(np.where(fresh, place, 0))
-    rank[who] = r + (sub - group)
+    sub -= np.maximum.accumulate(np.where(start, place, 0))
+    rank[who] = r + sub
     end = np.append(fresh[1:], True)
     return who[~(fresh & end)]
 
@@ -128,15 +128,18 @@ def name_ranks(t: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     def word(who: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(who), np.uint64)
-        at, n = lms[who], size[who]
-        for o in range(k * per, k * per + per):
-            sym = np.where(o < n, t[np.minimum(at + o, len(t) - 1)].astype(np.uint64) + np.uint64(1), np.where(o == n, top, np.uint64(0)))
-            out = out << np.uint64(bits) | sym
+        for x in range(0, len(who), BLOCK):
+            own = out[x : x + BLOCK]
+            at, n = lms[who[x : x + BLOCK]], size[who[x : x + BLOCK]]
+            for o in range(k * per, k * per + per):
+                sym = np.where(o < n, t[np.minimum(at + o, len(t) - 1)].astype(np.uint64) + np.uint64(1), np.where(o == n, top, np.uint64(0)))
+                own <<= np.uint64(bits)
+                own |= sym
         return out
 
     rank = np.zeros(m, np.int64)
-    active, k = np.arange(m), 0
-    shared = [np.empty(0, np.int64)]
+    active, k = np.arange(m, dtype=np.int32 if m < 1 << 31 else np.int64), 0
+    shared = [np.empty(0, active.dtype)]
     while len(active):
         active = refine(rank, active, word(active, k).view(np.int64))
         k += 1
@@ -152,18 +155,16 @@ class SuffixSorter:
     def __init__(self, t: np.ndarray, folder: str, cap: int = 400, budget: int = BUDGET, level: int = 0):
         self.t, self.folder, self.cap, self.budget, self.level = t, folder, cap, budget, level
         n = len(t)
-        step = np.zeros(n, np.int8)
-        up = t[1:] > t[:-1]
-        step[:-1] = up.astype(np.int8) - (t[1:] < t[:-1])
-        step[-1] = 1
-        at = np.arange(n, dtype=np.int64)
-        at[step == 0] = n - 1
-        nearest = np.minimum.accumulate(at[::-1])[::-1]
-        self.small = step[nearest] > 0  # type S
-        lead = self.small.copy()
-        lead[1:] &= ~self.small[:-1]
-        lead[0] = False
-        self.lms = np.flatnonzero(lead)
+        self.small = np.ones(n, bool)  # type S; the last symbol is
+        for b in range(n - 1, 0, -BLOCK):  # types of [a, b), from the right: a symbol like its successor has its successor's type
+            a = max(0, b - BLOCK)
+            here, after = t[a:b], t[a + 1 : b + 1]
+            at = np.where(here != after, np.arange(b - a, dtype=np.int32), np.int32(b - a))
+            nearest = np.minimum.accumulate(at[::-1])[::-1]
+            self.small[a:b] = np.append(here < after, self.small[b])[nearest]
+        lead = self.small[1:] & ~self.small[:-1]
+        self.lms = np.flatnonzero(lead).astype(np.int32 if n < 1 << 31 else np.int64) + 1
+        del lead
         self.sigma = int(t.max()) + 1
 
     def seed_order(self) -> np.ndarray:
@@ -190,12 +191,11 @@ class SuffixSorter:
         out = np.zeros(len(order), np.uint16)
         if self.level or len(order) < 2:
             return out
-        h = V.prefix_hash(UNIT[self.t])
+        h = V.symbol_hash(self.t, UNIT)
         n = len(self.t)
-        power = V.powers(n)
         for x in range(1, len(order), BLOCK):
             a, b = order[x - 1 : x - 1 + BLOCK][: len(order) - x], order[x : x + BLOCK]
-            ha, hb, pa, pb = h[a], h[b], power[a], power[b]
+            ha, hb, pa, pb = h[a], h[b], V.power_at(a), V.power_at(b)
             value = np.minimum(self.cap, n - np.maximum(a, b))
             rest = np.flatnonzero((h[a + value] - ha) * pb != (h[b + value] - hb) * pa)  # the others share all there is
             a, b, ha, hb, pa, pb = (v[rest] for v in (a, b, ha, hb, pa, pb))
@@ -206,7 +206,7 @@ class SuffixSorter:
                 lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
             value[rest] = lo
             out[x : x + BLOCK] = value
-        del h, power
+        del h
         return out
 
     def run_length(self, pos: int) -> int:

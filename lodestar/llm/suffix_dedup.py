@@ -20,7 +20,7 @@ have more.
    bytes come from the stretches of text that hold any, by minimizers of the shortest possible passage.
 6. Spans go back to all occurrences of their run, and each document's spans are united and cut out; texts without any are not shuffled.
 
-A sorted shard is held in memory (some 50 bytes for each of its bytes; the queues spill to the task's own temporary folder, which no other
+A sorted shard is held in memory (some 30 bytes for each of its bytes; the queues spill to the task's own temporary folder, which no other
 task reads), which MOST_BYTES bounds.  Step 4 holds no group in memory, but moves a row for each window instead of a byte for each start.
 
 Defined cases: null texts are empty; texts shorter than ``length`` keep everything; repeated rows are occurrences of their own (so a repeated
@@ -48,7 +48,7 @@ from .bitmap import marked
 LENGTH, K, WORDS, SAMPLE = 400, 32, 51, 240
 SHARD_BYTES = 3_000_000
 #: A shard with more bytes than this is counted by window instead of being sorted.
-MOST_BYTES = 12_000_000
+MOST_BYTES = 8_000_000
 SEGMENT = 32 << 20
 UNIT = V.unit_table(256, 77)
 
@@ -185,7 +185,7 @@ def passage_groups(table: pa.Table, near: int, length: int, words: int) -> pa.Ta
     base = off[:-1]
     ws, wm = passages_at(data > 32, base, off[1:], count, lead, words, near, length)
     run = np.searchsorted(base, ws, "right") - 1
-    shared = extremes(V.span_hash(V.prefix_hash(UNIT[data]), ws, ws + wm), low[run], high[run])
+    shared = extremes(V.long_span_hash(V.symbol_hash(data, UNIT), ws, ws + wm), low[run], high[run])
     ws, wm, run = ws[shared], wm[shared], run[shared]
     V.trim()
     return found_rows(table, united(run, np.full(len(run), 1), ws - base[run], ws + wm - base[run]))

@@ -76,6 +76,35 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * _powers(_INV, len(h), "i")[start])
 
 
+def symbol_hash(symbols: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """:func:`prefix_hash` of unit[symbols], block by block: nothing but the result is as long as the text."""
+    out = np.empty(len(symbols) + 1, np.uint64)
+    out[0] = carry = np.uint64(0)
+    for a in range(0, len(symbols), CHUNK_BYTES):
+        part = unit[symbols[a : a + CHUNK_BYTES]]
+        part *= _powers(_MULT, len(part), "p")
+        part *= np.uint64(pow(_MULT, a, 1 << 64))
+        np.cumsum(part, out=part)
+        part += carry
+        out[a + 1 : a + 1 + len(part)] = part
+        carry = part[-1]
+    return out
+
+
+def power_at(pos: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """The base (or its inverse) to the given powers, from two short tables."""
+    low = _powers(_INV if inverse else _MULT, 1 << 16, "i" if inverse else "p")
+    high = int(pos.max()) >> 16 if len(pos) else 0
+    step = pow(_INV if inverse else _MULT, 1 << 16, 1 << 64)
+    table = np.array([pow(step, k, 1 << 64) for k in range(high + 1)], np.uint64)
+    return low[pos & 0xFFFF] * table[pos >> 16]
+
+
+def long_span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """:func:`span_hash` without a table as long as the text."""
+    return mix((h[end] - h[start]) * power_at(start, inverse=True))
+
+
 def rolling_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-grams."""
     n = len(h) - 1 - k + 1
