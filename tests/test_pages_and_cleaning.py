@@ -57,12 +57,27 @@ def test_classifier(spark):
         ("甲\n甲\n120\n访问\n乙。", "profile", "甲乙。"),
         ("- 短一\n- 短二", "research", "- 短一；- 短二"),
         ("见\nhttps://a.b/c中文", "profile", "见\nhttps://a.b/c\n中文"),
+        ("论文甲见\nhttps://a.b/c", "papers", "论文甲见 https://a.b/c"),
+        ("论文甲见\nhttps://a.b/c", "research", "论文甲见\nhttps://a.b/c"),
+        ("（\n2019\n）\n甲 A\nB\n。", "research", "（2019）甲 A B。"),
     ],
 )
 def test_field_values(text, field, want):
     assert clean.field_value(text, field) == want
 
 
+def test_site_noise_is_skipped_and_a_footer_ends():
+    line = "Copyright 某校 2019"
+    assert clean.field_value(f"甲。\n{line}\n乙。", "profile", frozenset({line.lower()})) == "甲。\n乙。"
+    assert clean.field_value(f"甲。\n{line}\n乙。", "profile") == "甲。"
+    assert clean.lines("12\nEnglish\n访问\n甲\n7\n最新上线") == ["甲"]
+
+
+def test_titles_are_no_part_of_a_name():
+    assert P.guess_name("王 教授") == "王" and P.guess_name("王 小明") == "王小明" and P.guess_name("学院\n\n# 李四 博士") == "李四"
+    assert P.guess_title("职务：讲师\n职称: 教授") == "教授" and P.guess_title("某讲师，副教授") == "副教授"
+
+
 def test_content_and_menus():
     menu = "社会职务\n科研项目\n论文\n招生信息\n正文在此。\n论文\n列表。"
     assert clean.content_text(menu) == "正文在此。\n论文\n列表。"
