@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.local import small
+
 
 def case_metrics(results: DataFrame, queries: DataFrame, qrels: DataFrame, k: int = 5, threshold: int = 2) -> DataFrame:
     """(query_id, category, precision, mrr, ndcg) of every query.
@@ -12,7 +14,7 @@ def case_metrics(results: DataFrame, queries: DataFrame, qrels: DataFrame, k: in
     precision: hits / k, k and not the number of results; ndcg: all grades gain, the ideal counts grades from the threshold on only, so a
     value above 1 can occur; without such grades it is 0."""
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1)
-    graded = results.where(F.col("rank") <= k).join(F.broadcast(qrels), ["query_id", "doc_id"], "left").withColumn("g", F.coalesce("relevance", F.lit(0)))
+    graded = results.where(F.col("rank") <= k).join(small(qrels), ["query_id", "doc_id"], "left").withColumn("g", F.coalesce("relevance", F.lit(0)))
     hit = F.col("g") >= threshold
     got = graded.groupBy("query_id").agg(F.sum(hit.cast("int")).alias("hits"), F.max(F.when(hit, 1.0 / F.col("rank"))).alias("mrr"), F.sum(gain(F.col("g"), F.col("rank"))).alias("dcg"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "doc_id"))

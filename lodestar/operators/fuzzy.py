@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..functions.local import small
 from .index import Index
 from .ranking import RESULT, top_k
 
@@ -36,7 +37,7 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
 
 def name_search(index: Index, queries: DataFrame, k: Column | int = 10, threshold: float = 60.0, field: str = "name") -> DataFrame:
     """Names like the query, best first; containment either way counts 88 at least."""
-    q = F.broadcast(queries.select("query_id", T.strip(T.text("query")).alias("_q"), *(["k"] if "k" in queries.columns else [])).where("_q <> ''"))
+    q = small(queries.select("query_id", T.strip(T.text("query")).alias("_q"), *(["k"] if "k" in queries.columns else [])).where("_q <> ''"))
     rows = index.docs.select(F.col(index.ord_col).alias("ord"), T.text(field).alias("_n")).where("_n <> ''").crossJoin(q)
     inside = F.col("_n").contains(F.col("_q")) | F.col("_q").contains(F.col("_n"))
     rows = rows.withColumn("_in", inside).where(F.col("_in") | may_reach(F.col("_q"), F.col("_n"), threshold))
@@ -50,7 +51,7 @@ def field_bonus(index: Index, queries: DataFrame, field: str = "name", bonus: st
     """(query_id, ord, bonus) for queries of 2 to 6 characters: 8 for containment, else (similarity - 80) / 4 of the best part from 82 on.
 
     ``bonus="whole_name"``: the whole name only and no containment rule."""
-    q = F.broadcast(queries.select("query_id", T.strip(T.text("query")).alias("_q")).where("length(_q) between 2 and 6"))
+    q = small(queries.select("query_id", T.strip(T.text("query")).alias("_q")).where("length(_q) between 2 and 6"))
     rows = index.docs.select(F.col(index.ord_col).alias("ord"), T.text(field).alias("_n")).where("_n <> ''").crossJoin(q)
     inside = F.col("_n").contains(F.col("_q")) if bonus == "parts" else F.lit(False)
     parts = T.name_parts(F.col("_n")) if bonus == "parts" else F.array("_n")
@@ -62,7 +63,7 @@ def field_bonus(index: Index, queries: DataFrame, field: str = "name", bonus: st
 
 def levenshtein_search(index: Index, queries: DataFrame, k: int = 10, most: int = 3, field: str = "name") -> DataFrame:
     """Names within an edit distance, nearest first: a JVM-only alternative."""
-    q = F.broadcast(queries.select("query_id", F.lower(T.strip(T.text("query"))).alias("_q")).where("_q <> ''"))
+    q = small(queries.select("query_id", F.lower(T.strip(T.text("query"))).alias("_q")).where("_q <> ''"))
     rows = index.docs.select(F.col(index.ord_col).alias("ord"), F.lower(T.text(field)).alias("_n")).crossJoin(q)
     rows = rows.where(F.abs(F.length("_n") - F.length("_q")) <= most).withColumn("d", F.levenshtein("_q", "_n"))
     rows = rows.where(F.col("d") <= most).withColumn("score", -F.col("d").cast("double")).withColumn("matched_terms", F.array("_q"))

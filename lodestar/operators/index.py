@@ -9,14 +9,20 @@ term.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.local import small
 
 K1, B = 1.5, 0.75
+FLAT = "*"
 
 
 @dataclass
@@ -30,6 +36,8 @@ class Index:
     repeats: dict[str, int] = field(default_factory=dict)
     stored: DataFrame | None = None
     stored_lengths: DataFrame | None = None
+    stored_terms: DataFrame | None = None
+    stored_totals: DataFrame | None = None
 
     def tokens(self) -> DataFrame:
         """(ord, field, tokens, dl, flat_dl) of every field of every document, in one scan; flat_dl is the document's weighted length."""
@@ -51,7 +59,7 @@ class Index:
 
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """Postings of the given terms (column term); restricted before anything is counted or shuffled."""
-        wanted = F.broadcast(terms.select("term").distinct())
+        wanted = small(terms.select("term").distinct())
         if self.stored is not None:
             return self.stored.join(wanted, "term", "left_semi")
         rows = self.tokens().select("field", "ord", "dl", "flat_dl", F.explode("tokens").alias("term"))
@@ -63,6 +71,8 @@ class Index:
 
     def totals(self) -> DataFrame:
         """(field, n, avgdl): documents, and mean length over all of them, empty ones too."""
+        if self.stored_totals is not None:
+            return self.stored_totals
         if self.stored_lengths is not None:
             sums = self.stored_lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("s"))
             return sums.select("field", "n", (F.col("s") / F.col("n")).alias("avgdl"))
@@ -70,6 +80,24 @@ class Index:
         one = sizes.agg(F.count("*").alias("n"), *[F.sum(f).alias(f) for f in self.fields])
         return one.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f) / F.col("n")).alias("avgdl")) for f in self.fields])).alias("p")).select("p.field", "n", "p.avgdl")
 
+    def term_counts(self) -> DataFrame:
+        """(field, term, df) of every term by field, and with FLAT as field for the flat index."""
+        own = self.postings().groupBy("field", "term").agg(F.count("*").alias("df"))
+        flat = own.select(F.lit(FLAT).alias("field"), "term", "df") if len(self.fields) == 1 else self.postings().select("term", "ord").distinct().groupBy("term").agg(F.count("*").alias("df")).select(F.lit(FLAT).alias("field"), "term", "df")
+        return own.unionByName(flat)
+
+    def df_of(self, terms: DataFrame, hits: DataFrame) -> DataFrame:
+        """(field, term, df) of the query's terms: from the stored table, else counted over their postings."""
+        if self.stored_terms is not None:
+            return self.stored_terms.where(F.col("field") != FLAT).join(small(terms.select("term").distinct()), "term", "left_semi")
+        return hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+    def flat_df_of(self, terms: DataFrame, tf: DataFrame) -> DataFrame:
+        """(term, df) of the query's terms in the flat index."""
+        if self.stored_terms is not None:
+            return self.stored_terms.where(F.col("field") == FLAT).join(small(terms.select("term").distinct()), "term", "left_semi").select("term", "df")
+        return tf.groupBy("term").agg(F.count("*").alias("df"))
+
     def flat_repeats(self):  # noqa: ANN201
         """The repeat count of the row's field."""
         out = F.lit(1)
@@ -84,14 +112,55 @@ def corpus(docs: DataFrame, fields: tuple[str, ...], id_col: str = "doc_id", ord
 
 
 def write_index(index: Index, path: str) -> None:
-    """Store postings (by field, ranged and sorted by term) and lengths."""
+    """Store postings (by field, ranged and sorted by term), lengths, document frequencies and totals; the totals come last."""
     index.postings().repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
     index.lengths().write.mode("overwrite").partitionBy("field").parquet(f"{path}/lengths")
+    spark = index.docs.sparkSession
+    stored = Index(index.docs, index.fields, index.id_col, index.ord_col, index.repeats, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    stored.term_counts().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    stored.totals().coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # a row for each field
 
 
 def read_index(spark: SparkSession, path: str, index: Index) -> Index:
     """The stored statistics of a corpus."""
-    return Index(index.docs, index.fields, index.id_col, index.ord_col, index.repeats, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    return Index(index.docs, index.fields, index.id_col, index.ord_col, index.repeats, *(spark.read.parquet(f"{path}/{part}") for part in ("postings", "lengths", "terms", "totals")))
+
+
+def kept_index(index: Index, name: str, source: str) -> Index:
+    """The stored index of the table at ``source``: written once below the shared folder, and anew when a file of the table changes."""
+    spark = index.docs.sparkSession
+    key = hashlib.sha256(f"{name}|{index.fields}|{index.repeats}|{signature(spark, source)}".encode()).hexdigest()[:32]
+    path = f"{shared_folder(spark)}/lodestar-index/{key}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        write_index(index, path)
+    return read_index(spark, path, index)
+
+
+def signature(spark: SparkSession, source: str) -> str:
+    """Names, lengths and times of a table's files."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(source)
+    found, rows = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return str(sorted(rows))
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder, removed at exit, where it is not set and the session is a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="lodestar-index-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def idf(n, df):  # noqa: ANN001, ANN201

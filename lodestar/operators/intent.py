@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.local import local_table
+from ..functions.local import local_table, small
 from ..functions.lexicon import DEFAULT, FIELDS, SEMANTIC_KINDS, Lexicon
 
 
@@ -67,14 +67,14 @@ def expand(queries: DataFrame, synonyms: DataFrame, text_col: str = "query") ->
     whatever its case, in dictionary order."""
     q = queries.select("query_id", T.strip(T.text(text_col)).alias("own")).where("own <> ''")
     low, key = F.lower("own"), F.lower("key")
-    found = q.crossJoin(F.broadcast(synonyms)).where(low.contains(key) | key.contains(low)).where(F.lower("synonym") != low)
+    found = q.crossJoin(small(synonyms)).where(low.contains(key) | key.contains(low)).where(F.lower("synonym") != low)
     once = found.groupBy("query_id", F.lower("synonym").alias("_l")).agg(F.min_by("synonym", "pos").alias("phrase"), F.min("pos").alias("pos"))
     return q.select("query_id", F.col("own").alias("phrase"), F.lit(-1).alias("pos")).unionByName(once.select("query_id", "phrase", "pos"))
 
 
 def weighted_terms(phrases: DataFrame, weights: DataFrame | None = None, default: float = 0.65) -> DataFrame:
     """(query_id, term, q): 1 for the query's own terms, the expansion weight (query_id, expansion_weight) for the others, the larger of both."""
-    rows = phrases.join(F.broadcast(weights), "query_id", "left") if weights is not None else phrases.withColumn("expansion_weight", F.lit(default))
+    rows = phrases.join(small(weights), "query_id", "left") if weights is not None else phrases.withColumn("expansion_weight", F.lit(default))
     w = F.when(F.col("pos") < 0, 1.0).otherwise(F.coalesce("expansion_weight", F.lit(default)))
     return rows.select("query_id", F.explode(T.tokenize(F.col("phrase"))).alias("term"), w.alias("q")).groupBy("query_id", "term").agg(F.max("q").alias("q"))
 
@@ -85,7 +85,7 @@ def gate(analyzed: DataFrame, lex: Lexicon = DEFAULT, min_chars: int = 10, empty
     q = F.regexp_replace(T.text("query"), r"(?U)\s+", "")
     field = T.text("field") if "field" in analyzed.columns else F.lit("all")
     if empty_results is not None:
-        analyzed = analyzed.join(F.broadcast(empty_results.select("query_id", F.lit(True).alias("_empty"))), "query_id", "left")
+        analyzed = analyzed.join(small(empty_results.select("query_id", F.lit(True).alias("_empty"))), "query_id", "left")
         weak = F.coalesce("_empty", F.lit(False))
     else:
         weak = F.lit(False)

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.local import small
 from ..functions.lexicon import BASE_WEIGHTS, DEFAULT, Lexicon
 from . import fuzzy, intent, vector
 from .index import Index
-from .ranking import RESULT, contains_filter, exact_matches, facet_allowed, fielded_scores, flat_scores, fuse, name_filter, post_filter, top_k
+from .ranking import RESULT, contains_filter, exact_matches, fielded_scores, flat_scores, fuse, name_filter, post_filter, top_k, within_facet
 
 FILTER_FIELDS = ("college", "research", "papers", "title")
 COLUMNS = ("query_id", "rank", *RESULT[1:])
@@ -66,17 +67,17 @@ def adaptive(index: Index, queries: DataFrame, k: int, lex: Lexicon = DEFAULT, r
     spark = index.docs.sparkSession
     q = intent.analyze(_rest(queries), lex)
     depth = F.when(F.col("kind") == "paper", max(k, RRF_DEPTH)).otherwise(k) if rrf else F.lit(k)
-    allowed = facet_allowed(index, q, facet).unionByName(q.where("college = ''").select("query_id").crossJoin(index.docs.select(F.col(index.ord_col).alias("ord")))) if lex.colleges else None
+    allowed = (lambda rows: within_facet(rows, index, q, facet)) if lex.colleges else None
     text = q.select("query_id", F.col("search_text").alias("query"))
     own = text.select("query_id", T.strip(T.text("query")).alias("phrase"), F.lit(-1).alias("pos")).where("phrase <> ''")
     more = intent.expand(q.where("use_expansion").select("query_id", F.col("search_text").alias("query")), intent.synonym_table(spark, lex)).where("pos >= 0")
     phrases = own.unionByName(more)
     terms = intent.weighted_terms(phrases, q.select("query_id", "expansion_weight"))
-    weights = q.select("query_id", "kind").join(F.broadcast(intent.kind_weights(spark, lex, index.fields)), "kind").select("query_id", "field", "weight")
+    weights = q.select("query_id", "kind").join(small(intent.kind_weights(spark, lex, index.fields)), "kind").select("query_id", "field", "weight")
     bonuses = exact_matches(index, text, "name").unionByName(fuzzy.field_bonus(index, q.where("use_fuzzy").select("query_id", F.col("search_text").alias("query"))))
     bonus = F.when(F.col("pos") < 0, 2.0).otherwise(0.8)
     scored = fielded_scores(index, terms, weights, phrases.select("query_id", "phrase", bonus.alias("bonus")), allowed, bonuses)
-    scored = scored.join(F.broadcast(q.select("query_id", "kind", depth.alias("depth"))), "query_id")
+    scored = scored.join(small(q.select("query_id", "kind", depth.alias("depth"))), "query_id")
     best = top_k(scored, F.col("depth"))
     if rrf:
         paper = best.where("kind = 'paper'")
@@ -102,8 +103,7 @@ def semantic(index: Index, queries: DataFrame, k: int, lex: Lexicon = DEFAULT, e
     encode = vector.encoder(encoder)
     q = intent.analyze(queries, lex)
     asked = q.where("search_text <> ''")
-    free = asked.where("college = ''").select("query_id").crossJoin(index.docs.select(F.col(index.ord_col).alias("ord")))
-    allowed = facet_allowed(index, asked, facet).unionByName(free)
+    allowed = lambda rows: within_facet(rows, index, asked, facet)
     texts = index.docs.select(F.col(index.ord_col).alias("ord"), semantic_text(index).alias("text"))
     if encoder == "hashing":
         return vector.sparse_search(texts, asked.select("query_id", F.col("search_text").alias("text")), k, allowed).select(*COLUMNS)
@@ -123,7 +123,7 @@ def conditional(index: Index, queries: DataFrame, k: int, lex: Lexicon = DEFAULT
     lexical = optimized(index, queries, deep, lex).cache()  # a few rows per query, read by three branches
     empty = queries.select("query_id").join(lexical.select("query_id").distinct(), "query_id", "left_anti")
     open_ = intent.gate(intent.analyze(queries, lex), lex, empty_results=empty).where("use_semantic")
-    near = semantic(index, queries.join(F.broadcast(open_.select("query_id")), "query_id", "left_semi"), deep, lex).cache()
+    near = semantic(index, queries.join(small(open_.select("query_id")), "query_id", "left_semi"), deep, lex).cache()
     gated = near.select("query_id").distinct()
     plain = lexical.where(F.col("rank") <= k).join(gated, "query_id", "left_anti")
     fused = fuse([lexical.join(gated, "query_id", "left_semi"), near], [1.0, weight], k)

@@ -14,7 +14,7 @@ from ..functions.local import local_table
 from ..functions.lexicon import BASE_WEIGHTS, KINDS, REPEATS, Lexicon
 from ..operators import clean, evaluate, fuzzy, intent, ranking, search, vector
 from ..operators import corpus as C
-from ..operators.index import Index, corpus
+from ..operators.index import Index, corpus, kept_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,12 +37,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> Index:
-    return corpus(table(spark, d, "documents"), ("text",))
+    return kept_index(corpus(table(spark, d, "documents"), ("text",)), "documents", f"{d}/documents.parquet")
 
 
 def parts(spark: SparkSession, d: str) -> Index:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.col("p_type").alias("title"), F.col("p_brand").alias("college"))
-    return corpus(p, ("name", "title", "college"), repeats=REPEATS)
+    return kept_index(corpus(p, ("name", "title", "college"), repeats=REPEATS), "part", f"{d}/part.parquet")
 
 
 def ask(spark: SparkSession, *texts: str, field: str = "all") -> DataFrame:
