@@ -19,7 +19,8 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def mark_first(df: DataFrame, key: Column, order: list) -> DataFrame:
     """``df`` with ``is_first``: whether a row is its key's first."""
-    return df.withColumn("_k", key).withColumn("is_first", F.row_number().over(Window.partitionBy("_k").orderBy(*order)) == 1).drop("_k")
+    # the digest of the key stands for it, so that no long text is a key of the shuffle
+    return df.withColumn("_k", F.sha2(key.cast("string"), 256)).withColumn("is_first", F.row_number().over(Window.partitionBy("_k").orderBy(*order)) == 1).drop("_k")
 
 
 def parse_pages(pages: DataFrame, url: Column, html: Column, college: Column, lex: Lexicon = DEFAULT) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,8 @@ from ..functions.local import local_table
 from ..functions.lexicon import BASE_WEIGHTS, KINDS, REPEATS, Lexicon
 from ..operators import clean, evaluate, fuzzy, intent, ranking, search, vector
 from ..operators import corpus as C
-from ..operators.index import Index, corpus, kept_index
+from ..operators.index import Index, corpus, kept_index, shared_folder
+from ..sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,8 +99,81 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 {tail or f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {k}"}"""
 
 
+# ---- sources and sinks: written to the shared folder and read back
+
+def written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """A new path below the shared folder, with what ``write`` puts there."""
+    path = f"{shared_folder(spark)}/lodestar-files/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, '') AS college, '' AS title, md5(coalesce(text, '')) AS digest FROM documents")
+def documents_jsonl(spark, d):  # noqa: ANN001, ANN201
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string"), F.col("source").alias("college"), F.col("text").alias("content"), "n_chars")
+    back = io.read_documents(spark, written(spark, "documents", lambda p: io.write_documents(io.project_document(rows), p)))
+    return back.select("doc_id", "college", "title", F.md5("content").alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_ord FROM documents")
+def documents_jsonl_order(spark, d):  # noqa: ANN001, ANN201
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string"), F.col("doc_id").alias("n"), F.col("text").alias("content"))
+    path = written(spark, "documents", lambda p: rows.repartitionByRange(4, "n").sortWithinPartitions("n").drop("n").write.json(p))
+    return io.read_documents(spark, path).select("doc_id", F.col("doc_ord").cast("long").alias("doc_ord"))
+
+
+@query("SELECT 'unit' || page_id % 5 AS college, 'name' || page_id AS name, url FROM pages")
+def seeds_csv(spark, d):  # noqa: ANN001, ANN201
+    own = table(spark, d, "pages").select(F.concat(F.lit("unit"), F.col("page_id") % 5).alias("college"), F.concat(F.lit("name"), F.col("page_id")).alias("name"), "url")
+    return io.read_known_urls(spark, written(spark, "seeds", lambda p: io.write_seeds(own, p))).select("college", "name", "url")
+
+
+@query("SELECT 'q' || doc_id % 3 AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN quality = 0 THEN 1 ELSE quality + 1 END::INT AS relevance FROM labels")
+def qrels_jsonl(spark, d):  # noqa: ANN001, ANN201
+    grade = F.when(F.col("quality") != 0, F.col("quality") + 1)  # missing grades count 1
+    rows = table(spark, d, "labels").select(F.concat(F.lit("q"), F.col("doc_id") % 3).alias("query_id"), F.col("doc_id").cast("string"), grade.alias("relevance"))
+    return io.read_qrels(spark, written(spark, "qrels", lambda p: rows.write.json(p)))
+
+
+@query("SELECT 'Q' || lpad(CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR), 3, '0') AS query_id, md5(text) AS digest, CASE WHEN item_id % 2 = 0 THEN 'name' ELSE 'all' END AS field FROM benchmark")
+def queries_jsonl(spark, d):  # noqa: ANN001, ANN201
+    line = F.to_json(F.struct(F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "fuzzy_name").otherwise("research").alias("category")))
+    rows = table(spark, d, "benchmark").orderBy("item_id").select(line.alias("value")).coalesce(1)
+    asked, _ = io.read_queries(spark, written(spark, "queries", lambda p: rows.write.text(p)))
+    return asked.select("query_id", F.md5("query").alias("digest"), "field")
+
+
+@query("SELECT substr(sha1(url), 1, 16) || '.html' AS raw_key, md5(html) AS digest FROM pages")
+def raw_page_sink(spark, d):  # noqa: ANN001, ANN201
+    pages = io.raw_pages(table(spark, d, "pages"))
+    return spark.read.parquet(written(spark, "raw", lambda p: pages.write.parquet(p))).select("raw_key", F.md5("html").alias("digest"))
+
+
+@query(r"""WITH p AS (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS kv FROM pages WHERE regexp_extract(url, '\?([^#]*)', 1) <> '')
+SELECT page_id, split_part(kv, '=', 1) AS key, CASE WHEN contains(kv, '=') THEN substr(kv, instr(kv, '=') + 1) ELSE '' END AS value FROM p""")
+def url_query_map(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "pages").select("page_id", F.explode(H.query_map(F.col("url"))).alias("key", "value"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, ceil(n_chars / 500.0)) AS INT) AS pages FROM documents")
+def page_counts(spark, d):  # noqa: ANN001, ANN201
+    return table(spark, d, "documents").select("doc_id", H.page_count(F.col("n_chars"), 500).alias("pages"))
+
+
 # ---- index and flat ranking
 
+@query(f"""WITH d AS (SELECT p_partkey AS doc_id, f, {WORDS.format(c="x")} AS ws FROM part, LATERAL (VALUES ('name', p_name), ('title', p_type), ('college', p_brand)) v(f, x)),
+tok AS (SELECT DISTINCT doc_id, f, unnest(ws) AS term FROM d)
+SELECT f AS field, term, count(*) AS df FROM tok GROUP BY ALL UNION ALL SELECT '*', term, count(DISTINCT doc_id) FROM tok GROUP BY ALL""")
+def stored_terms(spark, d):  # noqa: ANN001, ANN201
+    return parts(spark, d).stored_terms.select("field", "term", "df")
+
+
+@query(f"SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({WORDS.format(c='text')}) AS t FROM documents) GROUP BY t")
+def stored_document_terms(spark, d):  # noqa: ANN001, ANN201
+    return documents(spark, d).stored_terms.where("field = '*'").select("term", "df")
+
+
 @query(f"SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({WORDS.format(c='text')}) AS t FROM documents) GROUP BY t")
 def tokenize_df(spark, d):  # noqa: ANN001, ANN201
     rows = documents(spark, d).tokens().select("ord", F.explode(F.array_distinct("tokens")).alias("term"))
@@ -356,12 +432,55 @@ def optimized_search(spark, d):  # noqa: ANN001, ANN201
     return shown(search.optimized(parts(spark, d), ask(spark, *MODE_QUERIES), 10, DEMO))
 
 
+def weighted_sql(queries: list[str], k: int) -> str:
+    """Flat BM25 over part's weighted fields, with 100 for an equal name."""
+    asked = ", ".join(f"('q{i}', '{q}')" for i, q in enumerate(queries))
+    repeats = ", ".join(f"('{f}', {REPEATS[f]}, {c})" for f, c in (("name", "p_name"), ("title", "p_type"), ("college", "p_brand")))
+    return f"""
+WITH qs AS (SELECT * FROM (VALUES {asked}) v(query_id, query)), d AS (SELECT p_partkey AS doc_id, f, r, {WORDS.format(c="x")} AS ws FROM part, LATERAL (VALUES {repeats}) v(f, r, x)),
+dl AS (SELECT doc_id, sum(r * len(ws)) AS dl FROM d GROUP BY doc_id), st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dl),
+tf AS (SELECT doc_id, t, sum(r) AS tf FROM (SELECT doc_id, r, unnest(ws) AS t FROM d) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+qt AS (SELECT query_id, t, count(*) AS c FROM (SELECT query_id, unnest({WORDS.format(c="query")}) AS t FROM qs) GROUP BY ALL),
+a AS (SELECT query_id, doc_id, sum(c * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (t) JOIN df USING (t) JOIN dl USING (doc_id), st GROUP BY ALL
+  UNION ALL SELECT query_id, p_partkey, 100.0 FROM qs JOIN part ON p_name = trim(query)),
+s AS (SELECT query_id, doc_id, sum(score) AS score FROM a GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {k}"""
+
+
+ALL_MODES = (*MODE_QUERIES, "which bolts are good for cold rooms")
+
+
+def raw_rows() -> tuple[list, list, list, list]:
+    """Terms, weights, phrases and equal names of the raw queries, as the fielded mode takes them."""
+    ids = [(f"q{i}", t) for i, t in enumerate(ALL_MODES)]
+    terms = [(i, w, 1.0) for i, t in ids for w in dict.fromkeys(re.findall("[a-z0-9_]+", t.lower()))]
+    return terms, [(i, f, BASE_WEIGHTS[f]) for i, _ in ids for f in ("name", "title", "college")], [(i, t.strip(), 2.0) for i, t in ids], ids
+
+
+def expanded_rows(weight: float = 0.65) -> tuple[list, list, list, list]:
+    """The same with the dictionary's synonyms: their terms at the expansion's weight, their phrases at 0.8."""
+    terms, weights, phrases, ids = raw_rows()
+    for i, text in ids:
+        own, more = {t for q, t, _ in terms if q == i}, {}
+        for key, synonyms in DEMO.synonyms.items():
+            if key.lower() in text.lower() or text.lower() in key.lower():
+                more |= {s.lower(): s for s in synonyms if s.lower() not in more and s.lower() != text.lower()}
+        added = dict.fromkeys(w for m in more for w in re.findall("[a-z0-9_]+", m))
+        terms = [*terms, *((i, w, weight) for w in added if w not in own)]
+        phrases = [*phrases, *((i, m, 0.8) for m in more.values())]
+    return terms, weights, phrases, ids
+
+
+MODE_SQL = {"baseline": weighted_sql(list(ALL_MODES), 10), "fielded": fielded_sql(*raw_rows()[:3], 10, raw_rows()[3]), "fielded+expand": fielded_sql(*expanded_rows()[:3], 10, expanded_rows()[3])}
+
+
 def _mode(name: str) -> None:
     def run(spark, d):  # noqa: ANN001, ANN202
-        return shown(search.MODES[name](parts(spark, d), ask(spark, *MODE_QUERIES, "which bolts are good for cold rooms"), 10, DEMO))
+        return shown(search.MODES[name](parts(spark, d), ask(spark, *ALL_MODES), 10, DEMO))
 
     run.__name__ = f"mode_{name.replace('+', '_')}"
-    query()(run)
+    query(MODE_SQL.get(name))(run)
 
 
 for _name in ("baseline", "fielded", "fielded+fuzzy", "fielded+expand", "semantic", "hybrid_semantic", "conditional_semantic"):

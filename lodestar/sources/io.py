@@ -23,9 +23,23 @@ def project_document(df: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of JSON lines in file order (``doc_ord``); a malformed line raises, unknown keys are dropped, missing ones are empty."""
     rows = spark.read.schema(DOCUMENT).option("mode", "FAILFAST").json(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_r"))
-    ordered = rows.withColumn("doc_ord", F.row_number().over(Window.orderBy("_f", "_r")) - 1)
-    return ordered.select(*[T.text(c).alias(c) for c in STRINGS], "extra", "doc_ord")
+    return _in_file_order(rows).select(*[T.text(c).alias(c) for c in STRINGS], "extra", "doc_ord")
+
+
+#: Where a row was read: its file, its block of the file, and its place among the rows of the task, which reads a block from front to end.
+def _place() -> tuple:
+    return F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_r")
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows with ``doc_ord``, counted from 0 over all files: places inside each block, plus the rows of the blocks before it (one row for each
+    block is all that a single task sees)."""
+    placed = rows.select("*", *_place())
+    blocks = placed.groupBy("_f", "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("_f", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_r")) - 1
+    return placed.withColumn("_i", inside).join(offsets, ["_f", "_b"]).withColumn("doc_ord", F.col("_i") + F.col("_before")).drop("_f", "_b", "_r", "_i", "_before")
 
 
 def write_documents(df: DataFrame, path: str) -> None:
@@ -70,8 +84,8 @@ def raw_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, doc_id, relevance): relevance 1 where it is missing, the last of repeated judgements."""
-    rows = spark.read.schema("query_id string, doc_id string, relevance int").json(path).withColumn("_r", F.monotonically_increasing_id())
-    return rows.groupBy("query_id", "doc_id").agg(F.max_by(F.coalesce("relevance", F.lit(1)), "_r").alias("relevance"))
+    rows = spark.read.schema("query_id string, doc_id string, relevance int").json(path).select("*", *_place())
+    return rows.groupBy("query_id", "doc_id").agg(F.max_by(F.coalesce("relevance", F.lit(1)), F.struct("_f", "_b", "_r")).alias("relevance"))
 
 
 def infer_field(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 #: Cheap ones; the driver runs all of them.
-CHECKED = ("tokenize_df", "bm25_batch", "fielded_full", "rrf_weighted", "intent_kind", "gate", "weighted_terms", "hash_vector", "vector_topk", "html_to_text", "url_normalize", "quality_report", "seed_merge", "section_assign")
+CHECKED = ("tokenize_df", "bm25_batch", "fielded_full", "rrf_weighted", "intent_kind", "gate", "weighted_terms", "hash_vector", "vector_topk", "html_to_text", "url_normalize", "quality_report", "seed_merge", "section_assign", "documents_jsonl_order", "seeds_csv", "qrels_jsonl", "queries_jsonl", "url_query_map", "stored_terms", "mode_baseline", "mode_fielded_expand")
 
 
 @pytest.fixture(scope="module")

@@ -125,3 +125,6 @@ def test_stream_ingest(spark, tmp_path):
     q = ingest.ingest(ingest.page_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/documents").count() == 1 and spark.read.parquet(f"{tmp_path}/out/postings").count() >= 1
+    spark.createDataFrame([(3, "u", "<p>known</p>"), (5, "v", "<p>b</p>"), (4, "v", "<p>a</p>")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.ingest(ingest.page_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    assert sorted((r.page_id, r.url) for r in spark.read.parquet(f"{tmp_path}/out/documents").collect()) == [(1, "u"), (4, "v")]
