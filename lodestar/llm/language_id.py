@@ -121,6 +121,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
         table = np.full((len(keys), len(langs)), value[part].min() - MISSING if part.any() else 0.0, np.float32)
         table[row, lang[part]] = value[part]
         model["tables"].append((keys, table))
+    del got, size, key, value, lang
+    V.trim()
     return model
 
 

@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .textvec import trim
+
 _own: dict[str, str] = {}
 
 
@@ -71,9 +73,11 @@ class Tables:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are over: they stay until the driver happens to collect its garbage."""
+    """Let Spark delete the shuffle files of jobs that are over: they stay until the driver happens to collect its garbage.  The driver's own
+    freed memory goes back too."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -34,6 +36,57 @@ def test_language_backs_off_to_shorter_ngrams(spark):
     assert [r.lang_pred for r in out] == ["p", "p", "q", "p"]
 
 
+def plain_model(rows):
+    """{lang: [counts of words, of letters, of 2-grams, ...]}"""
+    out = {}
+    for text, lang in rows:
+        tables = out.setdefault(lang, [Counter() for _ in range(language_id.LONGEST + 1)])
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            tables[0][w] += 1
+            tables[1].update(w)
+            for n in range(2, language_id.LONGEST + 1):
+                tables[n].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    return out
+
+
+def plain_language(text, model):
+    """(language, score) by the definition: known words first, then the longest n-grams of which any is known."""
+    langs = sorted(model)
+    logs = []
+    for n in range(language_id.LONGEST + 1):
+        value = {k: {x: math.log10(c / sum(model[k][n].values())) for x, c in model[k][n].items()} for k in langs}
+        low = min((v for t in value.values() for v in t.values()), default=0) - language_id.MISSING
+        logs.append((value, low, {x for t in value.values() for x in t}))
+    means = []
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        own = [0.0] * len(langs)
+        for n in [0, *range(language_id.LONGEST, 0, -1)]:
+            value, low, known = logs[n]
+            pieces = [w] if n == 0 else list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+            hit = [x for x in pieces if x in known]
+            if hit:
+                own = [sum(value[k].get(x, low) for x in hit) / len(hit) for k in langs]
+                break
+        means.append(own)
+    if not means:
+        return "und", 0.0
+    mean = [sum(m[j] for m in means) / len(means) for j in range(len(langs))]
+    best = max(range(len(langs)), key=lambda j: mean[j])
+    return langs[best], 1 / sum(10 ** ((m - mean[best]) * min(20, len(means))) for m in mean)
+
+
+def test_language_matches_a_plain_version(spark):
+    train = speech(5, 60)
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    plain = plain_model([(t, k) for _, t, k in train])
+    rng = np.random.default_rng(9)
+    texts = [None, "", "12", "house", "Haus treehouse", "зала ЛА", "qqqq", *(t for _, t, _ in speech(6, 20))]
+    texts += ["".join(rng.choice(list("etahbui rsл"), 30)) for _ in range(30)]
+    for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        lang, score = plain_language(texts[r.doc_id], plain)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, texts[r.doc_id]
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert language_id.predict(df, language_id.fit(df)).collect()[0].lang_pred == "und"

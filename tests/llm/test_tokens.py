@@ -95,6 +95,23 @@ def test_pack_keeps_proportions_in_every_window(spark):
     assert (abs(share[full[full == 512].index] - 1 / 3) <= 33 / 512 + 1e-9).all()
 
 
+def test_weights_hold_in_every_window_until_a_queue_is_empty(spark):
+    df = spark.createDataFrame([(i, "alpha beta gamma delta " * 8, "big" if i % 3 else "small") for i in range(900)], "doc_id long, text string, source string")
+    rows = packing.pack(df, window=512, quantum=32, weights={"small": 2.0}).toPandas()
+    small = rows[rows.doc_id % 3 == 0]
+    share = small.groupby("sequence_id").length.sum().reindex(range(rows.sequence_id.max() + 1), fill_value=0) / 512
+    last = int(small.sequence_id.max())
+    assert last < 0.75 * share.index.max() and (abs(share[:last] - 1 / 2) <= 33 / 512 + 1e-9).all()
+    drift = (share[:last] - 1 / 2).cumsum() * 512  # what a window lacks the next ones get: deficits never add up
+    assert abs(drift).max() <= 2 * 32
+
+
+def test_a_very_long_text_is_packed_whole(spark):
+    df = spark.createDataFrame([(1, "one two three " * 60_000, "a"), (2, "x", "b")], "doc_id long, text string, source string")
+    rows = packing.pack(df).toPandas()
+    assert rows[rows.doc_id == 1].length.sum() == rows[rows.doc_id == 1].doc_tokens.iloc[0] == 180_001
+
+
 def test_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (None, "d", None)], "doc_id long, text string, source string")
     assert packing.pack(df).toPandas().length.sum() == 4 + 4 + 2
