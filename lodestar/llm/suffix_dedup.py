@@ -50,6 +50,7 @@ SHARD_BYTES = 3_000_000
 #: A shard with more bytes than this is counted by window instead of being sorted.
 MOST_BYTES = 8_000_000
 SEGMENT = 32 << 20
+ROWS = 1000  # texts that a task cuts at a time
 UNIT = V.unit_table(256, 77)
 
 
@@ -429,7 +430,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = flagged.where("not _marked").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*picked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in V.trimmed(batches):
+        for b in (b.slice(a, ROWS) for b in V.trimmed(batches) for a in range(0, b.num_rows, ROWS)):
             known = b.column(1).is_valid().to_pylist()
             data, off = V.raw(V.binary(b.column(1)))
             V.trim()
