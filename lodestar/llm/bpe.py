@@ -119,7 +119,6 @@ class WordVocab:
             body = bytes(symbol[c] for c in (tok[: -len(mark)] if closed else tok))
             self.final[i], self.length[i] = closed, len(body)
             keys.append((body, closed, i))
-        self.known = {c: {body: i for body, closed, i in keys if closed == c} for c in (False, True)}
         self.longest = int(self.length.max())
         ids = np.array([k[2] for k in keys], np.int64)
         closed = np.array([k[1] for k in keys])
@@ -145,6 +144,22 @@ class WordVocab:
         order = np.argsort(pair)
         self.pair, self.made = np.array(pair, np.int64)[order], np.array(made, np.int64)[order]
         self.fits: dict[tuple[int, int], bool] = {}
+        self.path, self._known = path, None
+        del model, vocab, keys, pair, made
+        V.trim()
+
+    @property
+    def known(self) -> dict[bool, dict[bytes, int]]:
+        """Tokens by their bytes, open and closed: read when the first long word comes."""
+        if self._known is None:
+            with open(self.path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            mark, out = model["end_of_word_suffix"], {False: {}, True: {}}
+            for tok, i in model["vocab"].items():
+                closed = tok.endswith(mark) and tok != mark
+                out[closed][(tok[: -len(mark)] if closed else tok).translate(self.to_bytes).encode("latin-1")] = i
+            self._known = out
+        return self._known
 
     def token(self, hashes: np.ndarray, closed: bool) -> np.ndarray:
         """Token of each hashed byte string, -1 where the vocabulary has none."""

@@ -34,9 +34,17 @@ def scratch_root(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by the worker.
+BATCH_ROWS, _BATCH, _DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def persist_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the scratch root and return the table read back (lineage is cut there)."""
+    """Write ``df`` as Parquet below the scratch root and return the table read back (lineage is cut there).
+
+    A session that has Spark's own batch size gets BATCH_ROWS from here on; another setting stays."""
     spark = df.sparkSession
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     path = f"{scratch_root(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
