@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions import pages as P
 from ..functions import text as T
 from ..functions.lexicon import DEFAULT, Lexicon
+from .index import shared_folder
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -88,13 +89,14 @@ def crawl(seeds: DataFrame, store: DataFrame, max_pages: int | None = 100, follo
 
     At most ``max_pages`` urls in all, None: all that are found.  Frontier and visited urls stay tables; the driver counts the levels."""
     spark, level, n, seen, parts = seeds.sparkSession, 0, 0, None, None
-    shared = spark.sparkContext.getCheckpointDir()  # a folder that executors share; none on a single machine
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     pages = store.select(H.normalize_url(F.col("url")).alias("url"), "html")
     named = seeds.select(H.normalize_url(F.col("url")).alias("url"), F.monotonically_increasing_id().alias("pos")).where("url is not null")
     queue, order = named.groupBy("url").agg(F.min("pos").alias("pos")), "pos"
     while max_pages is None or n < max_pages:
         now = (queue if max_pages is None else queue.orderBy(order).limit(max_pages - n)).select("url")
-        now = now.checkpoint() if shared else now.localCheckpoint()
+        now = now.checkpoint()  # in the folder that executors share: a lost one costs a re-read
         size = now.count()
         if not size:
             break
