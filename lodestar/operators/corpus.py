@@ -111,14 +111,29 @@ def crawl(seeds: DataFrame, store: DataFrame, max_pages: int | None = 100, follo
     return parts if parts is not None else spark.createDataFrame([], "url string, level int, html string, status string")
 
 
-def crawl_ledger(pages: DataFrame, include_nonteacher: bool = False, lex: Lexicon = DEFAULT) -> DataFrame:
-    """Status of each crawled page (url, html, status): fetch_error, skipped_nonteacher, skipped_duplicate (same name, else url), saved."""
-    docs = parse_pages(pages.withColumnRenamed("url", "_u").withColumn("fetch", F.col("status")), F.col("_u"), F.col("html"), F.lit(""), lex)
+def crawl_ledger(pages: DataFrame, include_nonteacher: bool = False, lex: Lexicon = DEFAULT, seeds: DataFrame | None = None) -> DataFrame:
+    """Status of each crawled page (url, html, status): fetch_error, skipped_nonteacher, skipped_duplicate (same name, else url), saved.
+
+    With ``seeds`` (url, college, name; urls as crawled, of equal ones the largest name holds) a page takes its seed's college, and a seed's name wins over the
+    parsed one, which stays in ``parsed_name``."""
+    fetched = pages.withColumnRenamed("url", "_u").withColumn("fetch", F.col("status"))
+    if seeds is None:
+        fetched = fetched.withColumn("_seed", F.lit(None).cast("struct<name: string, college: string>"))
+    else:
+        meta = seeds.groupBy(H.normalize_url(F.col("url")).alias("_url")).agg(F.max(F.struct(T.text("name").alias("name"), T.text("college").alias("college"))).alias("_seed"))
+        fetched = fetched.join(meta, H.normalize_url(F.col("_u")) == F.col("_url"), "left").drop("_url")
+    docs = parse_pages(fetched, F.col("_u"), F.col("html"), T.text("_seed.college"), lex)
+    named = T.text("_seed.name") != ""
+    docs = docs.withColumns({
+        "parsed_name": F.when(named & (F.col("name") != F.col("_seed.name")), F.col("name")),
+        "name": F.when(named, F.col("_seed.name")).otherwise(F.col("name")),
+    })
     key = F.when(F.col("name") != "", F.col("name")).otherwise(F.col("final_url"))
     fine = (F.col("fetch") != "fetch_error") & (F.col("is_teacher_page") | F.lit(include_nonteacher))
     marked = mark_first(docs.withColumn("_f", fine), F.struct("_f", key), ["_u"])
     status = F.when(F.col("fetch") == "fetch_error", "fetch_error").when(~F.col("_f"), "skipped_nonteacher").when(~F.col("is_first"), "skipped_duplicate").otherwise("saved")
-    return marked.select(F.col("_u").alias("url"), status.alias("status"), "name", "title", F.size("sections").alias("section_count"), "page_reason")
+    own = ["college", "parsed_name"] if seeds is not None else []
+    return marked.select(F.col("_u").alias("url"), status.alias("status"), "name", "title", F.size("sections").alias("section_count"), "page_reason", *own)
 
 
 def new_seeds(found: DataFrame, existing: DataFrame) -> DataFrame:

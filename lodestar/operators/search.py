@@ -16,7 +16,7 @@ from ..functions.local import small
 from ..functions.lexicon import BASE_WEIGHTS, DEFAULT, Lexicon
 from . import fuzzy, intent, vector
 from .index import Index
-from .ranking import RESULT, contains_filter, exact_matches, fielded_scores, flat_scores, fuse, name_filter, post_filter, top_k, within_facet
+from .ranking import RESULT, contains_filter, exact_matches, fielded_scores, flat_scores, fuse, name_filter, post_filter, substring_search, top_k, within_facet
 
 FILTER_FIELDS = ("college", "research", "papers", "title")
 COLUMNS = ("query_id", "rank", *RESULT[1:])
@@ -139,7 +139,16 @@ def served(index: Index, queries: DataFrame, k: int, lex: Lexicon = DEFAULT, col
     return post_filter(rows, index, "college", college) if college else rows
 
 
+def stub(index: Index, queries: DataFrame, k: int, lex: Lexicon = DEFAULT) -> DataFrame:
+    """Plain containment without statistics, for trying out a client: the first k documents in load order."""
+    shown = tuple(c for c in ("name", "college", "title", "research", "profile") if c in index.docs.columns)
+    return substring_search(index.docs, queries.withColumn("query", F.trim("query")), k, shown, "name", "college", index.ord_col)
+
+
 Mode = Callable[..., DataFrame]
+#: What an evaluation compares by default, and what it compares to tell the parts' shares apart.
+COMPARED = ("baseline", "optimized")
+ABLATION = ("baseline", "fielded", "fielded+fuzzy", "fielded+expand", "adaptive", "optimized")
 MODES: dict[str, Mode] = {
     "baseline": baseline,
     "fielded": fielded,
@@ -152,7 +161,7 @@ MODES: dict[str, Mode] = {
     "conditional_semantic": conditional,
 }
 #: The service's engines; `register` adds to them.
-ENGINES: dict[str, Mode] = {"bm25": baseline, "optimized": served}
+ENGINES: dict[str, Mode] = {"bm25": baseline, "optimized": served, "stub": stub}
 
 
 def register(name: str) -> Callable[[Mode], Mode]:

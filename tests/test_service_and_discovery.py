@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import service
+from lodestar.__main__ import main, metrics
 from lodestar.functions.lexicon import FIELDS, REPEATS
+from lodestar.operators import corpus as C
 from lodestar.operators.index import corpus
+from lodestar.settings import Settings, settings
 from lodestar.sources import discovery, fetch, io
 
 DATA = str(Path(__file__).parent / "data" / "people.jsonl")
@@ -40,3 +43,52 @@ def test_discovery(spark):
 
 def test_decode():
     assert fetch.decode("中文".encode("gb18030")) == "中文" and fetch.decode("中文".encode()) == "中文" and fetch.decode(b"plain") == "plain"
+
+
+def test_engine_handles(spark):
+    plain = service.engine(spark, "stub", DATA)
+    assert plain is service.engine(spark, "stub", DATA) and plain is not service.engine(spark, "bm25", DATA)
+    with pytest.raises(ValueError):
+        service.engine(spark, "none", DATA)
+    got = plain.search(" 李静 ", field="name")
+    assert [(r["name"], r["score"], r["matched_terms"]) for r in got["results"]] == [("李静", 100.0, ["李静"])]
+    assert plain.search("电子", field="college")["results"][0]["score"] == 1.0 and plain.search("图论")["results"][0]["score"] == 10.0
+    every = plain.documents()
+    assert len(every) == plain.stats()["total_teachers"] and all(len(d["profile"] or "") <= 300 for d in every)
+    some = plain.documents("电子")
+    assert some and all("电子" in d["college"] for d in some) and plain.document(every[0]["doc_id"])["name"] == every[0]["name"]
+
+
+def test_settings(spark, monkeypatch):
+    assert settings(spark) == Settings()
+    monkeypatch.setenv("LODESTAR_SEMANTIC", "No")
+    monkeypatch.setenv("LODESTAR_SEMANTIC_WEIGHT", "0.2")
+    assert settings(spark) == Settings(semantic=False, semantic_weight=0.2)
+    spark.conf.set("spark.lodestar.semantic_weight", "0.3")
+    try:
+        assert settings(spark).semantic_weight == 0.3 and settings(spark, semantic_weight=0.4).semantic_weight == 0.4
+    finally:
+        spark.conf.unset("spark.lodestar.semantic_weight")
+    with pytest.raises(TypeError):
+        settings(spark, colour="red")
+
+
+def test_evaluate_command(spark, tmp_path):
+    asked = tmp_path / "q.jsonl"
+    asked.write_text("".join(json.dumps(q, ensure_ascii=False) + "\n" for q in [{"query_id": "a", "query": "图论", "field": "all", "category": "x"}, {"query_id": "b", "query": "李静", "field": "name", "category": "y"}]))
+    best = service.engine(spark, "bm25", DATA).search("图论")["results"][0]["doc_id"]
+    qrels = tmp_path / "qrels.jsonl"
+    qrels.write_text(json.dumps({"query_id": "a", "doc_id": best, "relevance": 3}) + "\n")
+    got = metrics(spark, DATA, str(asked), str(qrels), ["baseline"], 5, 2)["baseline"]
+    assert got["by_category"]["x"]["mrr"] == 1.0 and got["by_category"]["y"]["mrr"] == 0.0 and got["overall"]["cases"] == 2
+    with pytest.raises(SystemExit):
+        main(["evaluate", "--data", DATA, "--queries", str(asked), "--modes", "baseline,none"])
+
+
+def test_ledger_takes_the_seeds_college_and_name(spark):
+    page = "<html><body><p>Li Na</p></body></html>"
+    pages = spark.createDataFrame([("https://s.org/a.html", page, "fetched"), ("https://s.org/b.html", page, "fetched"), ("https://s.org/c.html", None, "fetch_error")], "url string, html string, status string")
+    seeds = spark.createDataFrame([("https://s.org/a.html", "Physics", "Wang"), ("https://s.org/c.html", "Maths", "Zhao")], "url string, college string, name string")
+    got = {r.url[-6]: r for r in C.crawl_ledger(pages, include_nonteacher=True, seeds=seeds).collect()}
+    assert got["a"].name == "Wang" and got["a"].college == "Physics" and got["a"].status == "saved"
+    assert got["b"].name != "Wang" and got["b"].status == "saved" and got["c"].status == "fetch_error"
