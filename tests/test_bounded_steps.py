@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lodestar.functions import text as T
 from lodestar.functions.batches import Best, tokens
-from lodestar.operators import fuzzy, search, vector
+from lodestar.operators import fuzzy, ranking, search, vector
 from lodestar.operators.index import FLAT, corpus, read_index, write_index
 
 from .test_entry import SF
@@ -101,3 +101,17 @@ def test_similar_names_are_compared_once(spark, monkeypatch):
 def test_conditional_plan_is_cut(spark, people):  # noqa: F811
     rows = search.conditional(people, ask(spark, ("研究人类语言理解和文本分析的老师", "all")), 3)
     assert len(plan(rows)) < 60_000 and "InMemoryRelation" not in plan(rows)
+
+
+def test_batch_search_where_documents_lie(spark, people, monkeypatch):  # noqa: F811
+    queries = ask(spark, ("机器学习 深度学习 机器学习", "all"), ("自然语言处理", "all"), ("计算机", "all"), ("", "all"), ("nothing_at_all", "all"), ("图论 教授 计算机科学", "all"))
+    small = corpus(spark.createDataFrame([(i, " ".join(PROBES[: i % 12 + 1])) for i in range(40)], "i long, t string"), ("t",), "i")
+    key = lambda rows: sorted((r.query_id, r["rank"], r.ord, round(r.score, 9), tuple(r.matched_terms)) for r in rows.collect())
+    for index, asked in ((people, queries), (small, ask(spark, ("red ring", "all"), ("red red 处理 x", "all"), ("ai nlp", "all")))):
+        want = key(ranking.top_k(ranking.flat_scores(index, asked), 3))
+        assert want and key(ranking.flat_best(index, asked, 3)) == want
+        with monkeypatch.context() as m:
+            m.setattr(ranking, "PASS_TERMS", 2)
+            m.setattr(ranking, "TRIPLES", 3)
+            m.setattr(ranking, "CELLS", 8)
+            assert key(ranking.flat_best(index, asked, 3)) == want
