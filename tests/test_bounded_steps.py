@@ -115,3 +115,15 @@ def test_batch_search_where_documents_lie(spark, people, monkeypatch):  # noqa:
             m.setattr(ranking, "TRIPLES", 3)
             m.setattr(ranking, "CELLS", 8)
             assert key(ranking.flat_best(index, asked, 3)) == want
+
+
+@here
+def test_ordered_files_grow_in_number(spark, monkeypatch):
+    from lodestar.plans import catalogue
+
+    paths, write = [], catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda *a: paths.append(write(*a)) or paths[-1])
+    monkeypatch.setattr(catalogue, "RANGE_BYTES", 20_000)
+    rows = entry.queries()["documents_jsonl_order"](spark, SF).collect()
+    assert len([f for f in os.listdir(paths[0]) if f.startswith("part-")]) > 4
+    assert [int(r.doc_id) for r in sorted(rows, key=lambda r: r.doc_ord)] == sorted(int(r.doc_id) for r in rows) and [r.doc_ord for r in sorted(rows, key=lambda r: r.doc_ord)] == list(range(len(rows)))
